@@ -88,8 +88,8 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id"
     compacted = index.compact(0)
     h64 = runs.groupBy("digest").agg(F.count("*").alias("n"), F.first("h64").alias("h64")).filter("n > 1").select("h64").distinct()
     hits = checked(index.scratch.table(h64), BROADCAST_HITS)
-    checked = rows.join(hits, "h64", "left_semi").groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
-    odd = index.scratch.table(checked.filter("not same").select("digest"))
+    compared = rows.join(hits, "h64", "left_semi").groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
+    odd = index.scratch.table(compared.filter("not same").select("digest"))
     plain = runs.select("id", "digest")
     groups = compacted.select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
     if odd.isEmpty():
