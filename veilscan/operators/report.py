@@ -53,7 +53,7 @@ def by_type_rollup(hits: DataFrame) -> DataFrame:
 def top_files(hits: DataFrame, n: int = 20) -> DataFrame:
     """The n files with most exposed findings; of equal ones those that come first."""
     out = hits.filter(exposed()).groupBy("path", "file_seq").agg(F.count("*").alias("exposed"))
-    return out.orderBy(F.desc("exposed"), "file_seq").limit(n).select("path", "exposed")
+    return out.orderBy(F.desc("exposed"), "file_seq", "path").limit(n).select("path", "exposed")
 
 
 def tier() -> Column:
