@@ -39,41 +39,39 @@ CACHE = 1_000_000
 _OTHER = re.compile(r"[\W_]+")
 
 
-def kernel(words: list[str], marks: list[str]) -> np.ndarray:
-    """By word and landmark; words of one length, landmarks of one length."""
-    n, m = len(words[0]), len(marks[0])
-    s = np.array(words, dtype=f"U{n}").view(np.uint32).reshape(-1, n)
-    t = np.array(marks, dtype=f"U{m}").view(np.uint32).reshape(-1, m)
-    same = [[s[:, a, None] == t[None, :, b] for b in range(m)] for a in range(n)]
-    shape, d2 = (len(words), len(marks)), DECAY * DECAY
-    # k[a][b]: subsequences of some length in s[:a] and t[:b], weighing up to the ends of both
-    k = [[np.ones(shape)] * (m + 1)] * (n + 1)
+def _codes(words: list[str]) -> np.ndarray:
+    n = len(words[0])
+    return np.array(words, dtype=f"U{n}").view(np.uint32).reshape(-1, n)
+
+
+def _weigh(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """By pair of rows of s and t (letters of strings of one length each): their kernel, not normalised. A row of the
+    recursion over both strings is a product with the decays along t."""
+    n, m = s.shape[1], t.shape[1]
+    same = (s[:, :, None] == t[:, None, :]) * (DECAY * DECAY)
+    steps = np.arange(m)
+    along = np.where(steps >= steps[:, None], DECAY ** np.maximum(0, steps - steps[:, None]), 0.0)
+    # k[a][:, b]: subsequences of some length in s[:a] and t[:b], weighing up to the ends of both
+    k = [np.ones((len(s), m))] * n
     for _ in range(P - 1):
-        new = [[np.zeros(shape)] * (m + 1)]
-        for a in range(1, n + 1):
-            row, run = [np.zeros(shape)], np.zeros(shape)
-            for b in range(1, m + 1):
-                run = DECAY * run + d2 * same[a - 1][b - 1] * k[a - 1][b - 1]
-                row.append(DECAY * new[a - 1][b] + run)
-            new.append(row)
+        new, row = [], np.zeros((len(s), m + 1))
+        for a in range(n):
+            new.append(row[:, :m])
+            row = DECAY * row
+            row[:, 1:] += (same[:, a] * k[a]) @ along
         k = new
-    return d2 * sum(same[a][b] * k[a][b] for a in range(n) for b in range(m))
+    return sum((same[:, a] * k[a]).sum(axis=1) for a in range(n))
+
+
+def kernel(words: list[str], marks: list[str]) -> np.ndarray:
+    """By word and landmark; words of one length, landmarks of one length."""
+    s, t = _codes(words), _codes(marks)
+    return _weigh(np.repeat(s, len(t), axis=0), np.tile(t, (len(s), 1))).reshape(len(s), len(t))
 
 
 def self_kernel(words: list[str]) -> np.ndarray:
-    n = len(words[0])
-    s = np.array(words, dtype=f"U{n}").view(np.uint32).reshape(-1, n)
-    d2 = DECAY * DECAY
-    k = np.ones((n + 1, n + 1, len(words)))
-    for _ in range(P - 1):
-        new = np.zeros_like(k)
-        for a in range(1, n + 1):
-            run = np.zeros(len(words))
-            for b in range(1, n + 1):
-                run = DECAY * run + d2 * (s[:, a - 1] == s[:, b - 1]) * k[a - 1, b - 1]
-                new[a, b] = DECAY * new[a - 1, b] + run
-        k = new
-    return d2 * sum((s[:, a] == s[:, b]) * k[a, b] for a in range(n) for b in range(n))
+    s = _codes(words)
+    return np.concatenate([_weigh(x, x) for x in (s[i : i + 2048] for i in range(0, len(s), 2048))])
 
 
 def _pairs(words: list[str]) -> np.ndarray:
@@ -108,10 +106,14 @@ def similarity(words: list[str], marks: list[str]) -> np.ndarray:
             if not use.any():
                 continue
             rows, near, group = rows[use], near[use], [w for w, u in zip(group, use, strict=True) if u]
-            norm = np.sqrt(self_kernel(group))
-            for j in long:
-                if (some := np.nonzero(near[:, j])[0]).size:
-                    out[rows[some], j] = kernel([group[i] for i in some], [marks[j]])[:, 0] / (norm[some] * np.sqrt(self_marks[j]))
+            norm, letters = np.sqrt(self_kernel(group)), _codes(group)
+            for m in sorted({len(marks[j]) for j in long}):
+                own_marks = np.array([j for j in long if len(marks[j]) == m])
+                t = _codes([marks[j] for j in own_marks])
+                at, of = np.nonzero(near[:, own_marks])
+                for i in range(0, len(at), 8192):
+                    r, c = at[i : i + 8192], of[i : i + 8192]
+                    out[rows[r], own_marks[c]] = _weigh(letters[r], t[c]) / (norm[r] * np.sqrt(self_marks[own_marks[c]]))
     return out
 
 
