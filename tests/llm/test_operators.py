@@ -206,7 +206,7 @@ def test_toxicity(spark, run):
     plain = ["".join(w) for w in draw.choice(list("abcdefghilmnoprstu"), (900, 6))]
     docs = [" ".join(draw.choice(plain, 15)) for _ in range(400)]
     y = [int(i % 4 == 0) for i in range(400)]
-    docs = [f"{t} you blorpish fool" if v else t for t, v in zip(docs, y, strict=True)]
+    docs = [f"{t} {('blorpish', 'twaddlek')[i // 4 % 2]}" if v else t for i, (t, v) in enumerate(zip(docs, y, strict=True))]
     m = toxicity.Toxicity.fit(docs, y)
     s = m.score(["a blorpish man", "a blo-rp.ish man", "a b l o r p i s h man", "a blorxpish man", " ".join(plain[:30]), "", None])
     assert (s[:4] >= 0.5).all() and (s[4:] < 0.5).all()

@@ -35,6 +35,8 @@ P, DECAY = 3, 0.7
 LONGEST = 32
 #: Documents of either label that the model is fitted on, and landmarks, at most.
 SAMPLE, LANDMARKS = 1200, 64
+#: How many times as often as elsewhere a letter sequence comes in documents with label 1 to mark them.
+RATIO = 20
 CACHE = 1_000_000
 _OTHER = re.compile(r"[\W_]+")
 
@@ -239,7 +241,7 @@ class Toxicity:
             seen[v].update({g for u in bag for g in sequences(u)})
         # far more often with label 1, by the lower end of a rough interval
         least = max(3, 0.015 * n[1])
-        marked = {g for g, a in seen[1].items() if a >= least and (a - 1.5 * a**0.5) / n[1] > 8 * (seen[0][g] + 0.5) / n[0]}
+        marked = {g for g, a in seen[1].items() if a >= least and (a - 1.5 * a**0.5) / n[1] > RATIO * (seen[0][g] + 0.5) / n[0]}
         units = Counter(u for bag, v in zip(bags, labels, strict=True) if v for u in bag if not marked.isdisjoint(sequences(u)))
         left, marks = dict(units), []
         while left and len(marks) < most:
