@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from veilscan.llm import jaccard
+from veilscan.llm import jaccard, pii
 
 
 def _shingles(t):
@@ -52,3 +52,14 @@ def test_near_copies_with_edits(spark):
     assert got == want and len(set(want.values())) < len(want) - 50
     left = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert {i for i in left if i is not None} == set(want.values()) and left.count(None) == 1
+
+
+def test_pii_terms_far_from_the_mention(spark):
+    filler = " ".join(f"word{i}" for i in range(200))
+    rows = [(i, f"Zorblat 王明 77341 Zorblat {filler} write to zq@corp.example") for i in range(4)]
+    rows += [(10 + i, f"{filler} number {i}, write to p{i}@corp.example") for i in range(200)]
+    rows += [(500, f"{filler} only Zorblat here")]  # no mention
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: [r.t[x.s : x.e] for x in r.terms] for r in pii.analysed(docs, with_text=True).collect()}
+    assert all(got[i] == ["Zorblat", "王明", "77341", "Zorblat"] for i in range(4))
+    assert got[500] == ["Zorblat"] and not any(got[i] for i in range(10, 210))

@@ -1,11 +1,12 @@
 r"""Personal data and the terms that give it away; DataFrame and SQL functions only.
 
 Base: patterns for e-mail addresses, IP addresses, payment cards and phone numbers. Then information-theoretic
-sanitisation: each distinct value found is a protected entity e. A term t of the words around e's mentions discloses e
+sanitisation: each distinct value found is a protected entity e. A term t of the texts that hold e discloses e
 as far as PMI(e; t) = log2(p(e, t) / (p(e) p(t))) comes up to e's information IC(e) = -log2 p(e); probabilities are
-shares of all documents. A term is a span of its own where PMI >= disclose * IC, e has `support` documents in which t
-stands by it, and sanitised() replaces it: removed where PMI >= remove * IC, else generalised to the class of its
-shape. Statistics cover all documents.
+shares of all documents, and e and t meet wherever they stand in a document. A term discloses where PMI >= disclose * IC
+and e has `support` documents with t; then every occurrence, in any document, is a span of its own, and sanitised()
+replaces it: removed where PMI >= remove * IC, else generalised to the class of its shape. Terms are words outside base
+spans, but for one or two small Latin letters. Statistics cover all documents.
 
 The patterns are written so that they find what the plain ones find, yet in linear time and without recursion: runs
 are possessive and start at a run's beginning or where the last match ended (\G).
@@ -19,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from ..functions.spans import matches
+from .common import Scratch, checked, read_table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Kind: (what a text must hold, pattern, what a match must fulfil).
@@ -29,10 +31,9 @@ PATTERNS = {
     "card": (r"[0-9]", r"[0-9](?:[\x20-]?+[0-9])++", "length(translate(x.v, ' -', '')) between 12 and 19 and luhn_check(translate(x.v, ' -', ''))"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", "length(translate(x.v, '+ ().-', '')) between 9 and 15"),
 }
-#: Characters on either side of a mention in which terms are looked for, and terms taken on each side.
-REACH, TERMS = 96, 8
 LETTERS = r"\\p{L}\\p{M}\\p{Nd}_\\x27-"
-TERM = f"[{LETTERS}]++"
+#: No terms: words of one or two small Latin letters. What stands for a base span while words are cut.
+SHORT, MARK = "^[a-z]{1,2}$", "\x01"
 
 
 def _located(text: str, pattern: str) -> str:
@@ -64,36 +65,62 @@ def _listed(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(element_at(array({names}), x.k + 1), ':', x.s, ':', x.e)), ',')"
 
 
-def mentions(found: DataFrame) -> DataFrame:
-    """rid, ent, s, e, term: the terms by each mention of an entity (a hash of kind and value: digits, lower case)."""
-    value = "if(x.k in (2, 3), regexp_replace(x.v, '[^0-9]', ''), lower(x.v))"
-    m = found.filter("size(near) > 0").select("rid", "base", F.explode("near").alias("x"))
-    m = m.withColumn("ent", F.expr(f"xxhash64(x.k, {value})"))
-    words = f"concat(transform(slice(reverse(filter({_located('x.l', TERM)}, w -> w.s > 0 or x.s <= {REACH})), 1, {TERMS}), w -> named_struct('s', x.s - length(x.l) + w.s, 'e', x.s - length(x.l) + w.e, 'v', w.v)), transform(slice(filter({_located('x.r', TERM)}, w -> w.e < {REACH}), 1, {TERMS}), w -> named_struct('s', x.e + w.s, 'e', x.e + w.e, 'v', w.v)))"
-    m = m.select("rid", "ent", "base", F.explode(F.expr(words)).alias("w"))
-    return m.filter("length(w.v) >= 3 and w.v rlike '\\\\p{L}' and not exists(base, b -> b.s < w.e and w.s < b.e)").select("rid", "ent", "w.s", "w.e", F.lower("w.v").alias("term"))
+def _words(docs: DataFrame) -> DataFrame:
+    """rid, term: each document's distinct terms outside its base spans; texts stay in place."""
+    # a base span becomes a mark that words next to it hold, and go with it
+    gaps = "transform(sequence(0, size(base)), i -> named_struct('s', if(i = 0, 0, array_max(transform(slice(base, 1, i), x -> x.e))), 'e', if(i = size(base), length(t), get(base, i).s)))"
+    rest = f"if(size(base) = 0, t, array_join(transform({gaps}, g -> if(g.e > g.s, substring(t, g.s + 1, g.e - g.s), '')), '{MARK}'))"
+    d = docs.select("rid", "base", F.expr(f"translate(t, '{MARK}', ' ')").alias("t")).select("rid", F.expr(rest).alias("t"))
+    return d.select("rid", F.explode(F.expr(f"array_distinct(transform(filter(split(t, '[^{MARK}{LETTERS}]++'), w -> {_is_term('w')}), w -> lower(w)))")).alias("term"))
+
+
+def _is_term(w: str) -> str:
+    return f"{w} <> '' and not {w} rlike '{SHORT}' and instr({w}, '{MARK}') = 0"
+
+
+def _entities(spans: str) -> str:
+    """A hash of kind and value (digits, lower case) for each span."""
+    return f"array_distinct(transform({spans}, x -> xxhash64(x.k, if(x.k in (2, 3), regexp_replace(x.v, '[^0-9]', ''), lower(x.v)))))"
 
 
 def analysed(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95, support: int = 3, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and terms (arrays of spans; a term's v is 'remove' or 'generalise'), with_text: t, the text."""
     scratch = Scratch(docs.sparkSession, "pii")
-    near = f"transform(base, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'v', x.v, 'l', substring(t, greatest(1, x.s + 1 - {REACH}), least(x.s, {REACH})), 'r', substring(t, x.e + 1, {REACH})))"
-    found = base_spans(docs, id_col, text_col).withColumn("near", F.expr(near)).withColumn("rid", F.monotonically_increasing_id())
-    found = scratch.table(found if with_text else found.drop("t"))
+    found = scratch.table(base_spans(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()))
     n = found.count()
-    by = scratch.table(mentions(found))
-    pairs = by.groupBy("ent", "term").agg(F.countDistinct("rid").alias("both")).filter(F.col("both") >= support)
-    ents = found.select("rid", F.explode(F.expr("array_distinct(transform(near, x -> xxhash64(x.k, if(x.k in (2, 3), regexp_replace(x.v, '[^0-9]', ''), lower(x.v)))))")).alias("ent")).groupBy("ent").agg(F.count("*").alias("with_ent"))
-    terms = docs.select(F.explode(F.expr(f"array_distinct(split(lower({text_col}), '[^{LETTERS}]++'))")).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    told = pairs.join(ents, "ent").join(terms, "term")
-    told = told.withColumn("pmi", F.expr(f"log2(both * cast({n} as double) / (cast(with_ent as double) * with_term))")).withColumn("ic", F.expr(f"log2({n} / cast(with_ent as double))"))
-    told = scratch.table(told.filter(F.expr(f"ic > 0 and pmi >= {disclose} * ic")).select("ent", "term", F.expr(f"pmi >= {remove} * ic").alias("drop")))
-    added = by.join(told, ["ent", "term"]).groupBy("rid", "s", "e").agg(F.max("drop").alias("drop"))
+    told = scratch.table(disclosing(found, n, disclose, remove, support, scratch))
+    by = told.groupBy("term").agg(F.max("drop").alias("drop"))
+    by = checked(scratch.table(by))
+    # texts with a disclosing term; in them, every place of one
+    has = scratch.table(_words(found).join(by, "term", "left_semi").select("rid").distinct())
+    marked = found.join(checked(has), "rid", "left_semi").withColumn("m", matches("t", f"[{LETTERS}]++".replace("\\\\", "\\")))
+    at = marked.select("rid", "base", F.explode("m").alias("w")).filter(f"not w.v rlike '{SHORT}' and not exists(base, b -> b.s < w.e and w.s < b.e)")
+    added = at.select("rid", "w.s", "w.e", F.lower("w.v").alias("term")).join(by, "term")
     added = added.groupBy("rid").agg(F.expr("array_sort(collect_list(named_struct('s', s, 'k', 4, 'e', e, 'v', if(drop, 'remove', 'generalise'))))").alias("terms"))
     out = found.join(added, "rid", "left")
     return out.select("doc_id", *["t"] * with_text, "base", F.expr("coalesce(terms, cast(array() as array<struct<s:int,k:int,e:int,v:string>>))").alias("terms"))
 
 
+def disclosing(found: DataFrame, n: int, disclose: float, remove: float, support: int, scratch: Scratch) -> DataFrame:
+    """term, drop: for entities and terms that meet in `support` documents or more and have enough PMI.
+
+    As both <= with_ent, PMI >= disclose * IC needs with_term <= with_ent * (n / with_ent) ** (1 - disclose): pairs beyond
+    that can't qualify and are never made."""
+    ents = found.filter("size(base) > 0").select("rid", F.explode(F.expr(_entities("base"))).alias("ent"))
+    often = ents.groupBy("ent").agg(F.count("*").alias("with_ent")).filter((F.col("with_ent") >= support) & (F.col("with_ent") < n))
+    often = often.withColumn("most", F.expr(f"with_ent * pow({n} / cast(with_ent as double), 1 - {disclose}) * (1 + 1e-9)"))
+    often = scratch.table(often)
+    ents = scratch.table(ents.join(checked(often), "ent"))
+    most = ents.agg(F.max("most")).first()[0] or 0.0
+    terms = _words(found).groupBy("term").agg(F.count("*").alias("with_term")).filter((F.col("with_term") >= support) & (F.col("with_term") <= most))
+    terms = scratch.table(terms)
+    stand = _words(found.join(ents.select("rid").distinct(), "rid", "left_semi")).join(checked(terms), "term")
+    both = ents.join(stand, "rid").filter("with_term <= most").groupBy("ent", "term").agg(F.count("*").alias("both"), F.first("with_ent").alias("with_ent"), F.first("with_term").alias("with_term"))
+    both = both.filter(F.col("both") >= support)
+    told = both.withColumn("pmi", F.expr(f"log2(both * cast({n} as double) / (cast(with_ent as double) * with_term))")).withColumn("ic", F.expr(f"log2({n} / cast(with_ent as double))"))
+    return told.filter(F.expr(f"ic > 0 and pmi >= {disclose} * ic")).select("term", F.expr(f"pmi >= {remove} * ic").alias("drop"))
+
+
 def sanitised(docs: DataFrame, **options) -> DataFrame:
     """doc_id, text: base spans become [EMAIL], [IP], [CARD], [PHONE]; disclosing terms go or become [NAME] (upper
     first letter), [CODE] (with digits) or [TERM]. Of overlapping spans the first counts."""
