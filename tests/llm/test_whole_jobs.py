@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from veilscan.llm import jaccard, pii
+from veilscan.llm import jaccard, pii, quality
 
 
 def _shingles(t):
@@ -63,3 +63,10 @@ def test_pii_terms_far_from_the_mention(spark):
     got = {r.doc_id: [r.t[x.s : x.e] for x in r.terms] for r in pii.analysed(docs, with_text=True).collect()}
     assert all(got[i] == ["Zorblat", "王明", "77341", "Zorblat"] for i in range(4))
     assert got[500] == ["Zorblat"] and not any(got[i] for i in range(10, 210))
+
+
+def test_capital_counts_all_words():
+    at = quality.FEATURES.index("capital")
+    for n in (0, 1, 511, 512, 1024, 4097):
+        words = [("Title", "plain", "plain", "plain")[i % 4] for i in range(n)]
+        assert quality.features(" ".join(words))[at] == (n + 3) // 4 / max(1, n)

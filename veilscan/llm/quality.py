@@ -49,7 +49,7 @@ def features(text: str) -> list[float]:
         np.log1p(len(lines)),
         1 - len(set(lines)) / max(1, len(lines)),
         np.log1p(float(lengths.max(initial=0))),
-        float(sum(map(str.istitle, words[:: max(1, n // 256)]))) / len(words[:: max(1, n // 256)] or [0]),
+        float(sum(c for w, c in counts.items() if w.istitle())) / n,
     ]
 
 
