@@ -20,7 +20,7 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, read_table
+from .common import blocks, read_table, slices
 
 #: Matches of the pattern cached in a worker; the cache starts anew when full.
 CACHE = 500_000
@@ -217,7 +217,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         import pyarrow as pa
 
         c = codec(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             for texts, ids in blocks(b.column(1).to_pylist(), b.column(0).to_pylist()):
                 packed = [c.encode_packed(t or "") for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())], ["doc_id", "ids", "n_tokens"])
@@ -246,7 +246,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         import pyarrow as pa
 
         c = codec(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             for texts, ids in blocks(b.column(1).to_pylist(), b.column(0).to_pylist()):
                 packed = [c.encode_packed(t or "") for t in texts]
                 yield pa.RecordBatch.from_arrays(

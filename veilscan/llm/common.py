@@ -28,13 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written under the shared folder, so that lost executors cost no lineage.
 
-    A table stays until drop() or close(); what a returned DataFrame still reads must stay.
+    A table stays until drop() takes it; what a returned DataFrame still reads must stay.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
 
     def path(self) -> str:
         return f"{self.root}/{uuid.uuid4().hex}"
@@ -43,7 +42,6 @@ class Scratch:
         path = self.path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
@@ -58,9 +56,20 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def checked(table: DataFrame, most: int = 4_000_000) -> DataFrame:
-    """A written table, to be broadcast if it has no more than so many rows; else its joins shuffle."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+#: Bytes of rows, as they are held in memory, up to which a table is broadcast.
+BROADCAST = 48_000_000
+_BYTES = {"boolean": 1, "tinyint": 1, "int": 4, "bigint": 8, "double": 8}
+
+
+def checked(table: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """A written table, to be broadcast if its rows come to no more than so many bytes; else its joins shuffle. The size
+    is a sum over all rows: 16 bytes a row, a fixed width for each number, and the lengths of strings and binaries."""
+    width = F.lit(16 + sum(_BYTES.get(t, 16) for _, t in table.dtypes)).cast("bigint")
+    for name, kind in table.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    size = table.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(table) if size <= most else table
 
 
 def crc_of_id(col: str = "doc_id") -> Column:
@@ -73,6 +82,13 @@ def unit_hash(*cols: str, salt: str = "") -> Column:
     return (F.xxhash64(*[F.col(c) for c in cols], F.lit(salt)).cast("double") / F.lit(2.0**64)) + F.lit(0.5)
 
 
+def slices(batches, most: int = 512):
+    """Arrow batches of no more than so many rows, so that few texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            yield b.slice(at, most)
+
+
 def blocks(texts: list, ids: list, max_chars: int = 1_500_000):
     """Runs of whole texts of about max_chars characters, so that a batch's tokens never fill the memory."""
     held, hid, n = [], [], 0

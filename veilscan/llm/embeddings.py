@@ -118,7 +118,7 @@ def linked(classes: DataFrame, dim: int, cosine: float, scratch: Scratch) -> Dat
     # most keys belong to one vector alone: they go before any vector moves
     thin = classes.select("cls", "v").mapInArrow(key, "tab int, key bigint, cls bigint")
     counts = scratch.table(thin.groupBy("tab", "key").agg(F.count("*").alias("rows")).filter("rows > 1"))
-    dealt = scratch.table(thin.join(checked(counts, 1_000_000), ["tab", "key"]))
+    dealt = scratch.table(thin.join(checked(counts), ["tab", "key"]))
     k = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
     dealt = dealt.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))

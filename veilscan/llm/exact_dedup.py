@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, checked, read_table
 
-#: Keys of hits are broadcast up to so many rows (16 bytes each: 64 MB); beyond, the join shuffles.
-BROADCAST_HITS = 4_000_000
 
 
 class DigestIndex:
@@ -87,7 +85,7 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id"
     runs = index.flush(rows.select("digest", "id", "h64"))
     compacted = index.compact(0)
     h64 = runs.groupBy("digest").agg(F.count("*").alias("n"), F.first("h64").alias("h64")).filter("n > 1").select("h64").distinct()
-    hits = checked(index.scratch.table(h64), BROADCAST_HITS)
+    hits = checked(index.scratch.table(h64))
     compared = rows.join(hits, "h64", "left_semi").groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
     odd = index.scratch.table(compared.filter("not same").select("digest"))
     plain = runs.select("id", "digest")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, checked, unit_hash
+from .common import Scratch, blocks, checked, slices, unit_hash
 from .components import components, run_bounds, runs
 from .simhash import _LOWER, _WORDS
 
@@ -64,7 +64,7 @@ def _hashes(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             for texts, ids in blocks(b.column(1).to_pylist(), b.column(0).to_pylist()):
                 hs = [hashed(t or "", size).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.list_(pa.int64())), pa.array([_set_key(h) for h in hs], pa.int64())], ["doc_id", "hs", "sk"])
@@ -97,7 +97,7 @@ def sets(docs: DataFrame, size: int, least: float) -> DataFrame:
         import pyarrow as pa
 
         often, count = sent.value
-        for b in batches:
+        for b in slices(batches):
             for texts, ids in blocks(b.column(1).to_pylist(), b.column(0).to_pylist()):
                 sk, n, first = [], [], []
                 for t in texts:

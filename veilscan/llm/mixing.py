@@ -86,7 +86,7 @@ def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     spark = docs.sparkSession
     q = queue(docs, repeats).filter("copies > 0").groupBy("doc_id", "size", "source")
     q = q.agg(F.min(F.struct("queued", "source_size", "target", "copies")).alias("q")).select("doc_id", "size", "source", "q.*")
-    q = checked(Scratch(spark, "mix").table(q), 500_000)
+    q = checked(Scratch(spark, "mix").table(q))
     d = docs.select(F.struct("*").alias("row"), n_words(F.col("text")).alias("words"))
     d = d.join(q, F.col("row.doc_id").eqNullSafe(q["doc_id"]) & (F.col("words") == q["size"]) & F.col("row.source").eqNullSafe(q["source"]))
     d = d.withColumn("round", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))

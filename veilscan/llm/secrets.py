@@ -2,7 +2,7 @@ r"""Secrets: an Aho-Corasick automaton finds keywords, patterns run anchored at
 
 Base kinds are assign, access and hex; hex has no keyword, its runs are searched for as they are. The method adds
 tokens that carry proof of themselves: github (six base-62 digits of a CRC-32 over the rest), npm (the same), jwt (a
-header that decodes to JSON with an algorithm), pem (a block whose Base64 decodes to DER), and provider keys of fixed
+header that decodes to a JSON object with an algorithm), pem (a block whose Base64 decodes to DER), and provider keys of fixed
 shape (google, slack, stripe).
 
 Edge cases: a null text is the empty text; equal rows give equal results; ids may repeat or be null; an empty table gives
@@ -20,7 +20,7 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, read_table
+from .common import blocks, read_table, slices
 
 KINDS = ["assign", "access", "hex", "github", "npm", "jwt", "pem", "google", "slack", "stripe"]
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -44,9 +44,10 @@ def _crc_ok(m: re.Match) -> bool:
 def _jwt_ok(m: re.Match) -> bool:
     head = m.group().split(".")[0]
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, TypeError):
+        told = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, RecursionError):  # no Base64, no JSON, or JSON nested beyond any header
         return False
+    return isinstance(told, dict) and "alg" in told
 
 
 def _pem_ok(m: re.Match) -> bool:
@@ -126,7 +127,7 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             for texts, ids in blocks(b.column(1).to_pylist(), b.column(0).to_pylist()):
                 rows = [scan(t or "") for t in texts]
                 base = [[s for s in r if ORDER[s[2]] < 3] for r in rows]

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, checked, read_table
+from .common import Scratch, blocks, checked, read_table, slices
 from .components import BLOCK, components, run_bounds, runs, spanning
 
 PARTS, WIDTH = 4, 16
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             for texts, ids in blocks(b.column(1).to_pylist(), b.column(0).to_pylist()):
                 fp = np.array([fingerprint(t or "", size) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp)], ["doc_id", "fp"])

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_of_id, read_table, unit_hash
+from .common import blocks, crc_of_id, read_table, slices, unit_hash
 
 P, DECAY = 3, 0.7
 #: Longest unit; longer ones are taken in windows that overlap by half.
@@ -312,7 +312,7 @@ def scored(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: s
         import pyarrow as pa
 
         m = started(sent)
-        for b in batches:
+        for b in slices(batches):
             for texts, ids in blocks(b.column(1).to_pylist(), b.column(0).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(m.score(texts), pa.float64())], ["doc_id", "score"])
 
