@@ -6,8 +6,8 @@ adding it, shrunk, to that feature's lookup table. Then pairs of features are ra
 coarse grid over both explains, and the best are boosted likewise by trees that cut one feature and then the other.
 A document's score is the logistic function of an intercept and one table entry for each feature and pair.
 
-Edge cases: a null text is the empty text and has a score like any other; labels that are null, or of documents that don't
-exist, teach nothing; with several labels a document teaches each of them; without any label, or with one class alone,
+Edge cases: a null text is the empty text and has a score like any other; labels other than 0 and 1 (null among them), or of
+documents that don't exist, teach nothing; with several labels a document teaches each of them; without any label, or with one class alone,
 the score is the smoothed share of label 1 (0.5 without labels); repeated rows are scored alike; an empty table gives
 an empty result; other columns are ignored.
 """
@@ -15,25 +15,38 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, crc_of_id, read_table, unit_hash
+from .common import Scratch, blocks, crc_of_id, read_table, slices, unit_hash
 
 FEATURES = ["log_words", "word_length", "distinct", "top_word", "distinct_pairs", "short", "upper", "digit", "point", "symbol", "bar", "shout", "space", "lines", "same_lines", "longest", "capital"]
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
 BINS, ROUNDS, PAIRS, PAIR_BINS, RATE = 32, 120, 6, 8, 0.1
-_CLASS = {k: np.frombuffer(v, np.uint8) for k, v in {"digit": b"0123456789", "point": b".,;:?", "symbol": b"$%&*#@^~<>=+\\/_{}[]", "bar": b"|", "shout": b"!", "space": b" \t\n\r\x0b\x0c"}.items()}
-_UPPER = np.r_[65:91, 0xC0:0xD7, 0xD8:0xDF]
+#: Characters of a class; other scripts' full stops, commas and marks count like the Latin ones.
+_CLASS = {"digit": "0123456789", "point": ".,;:?。、，；：？؟،؛।", "symbol": "$%&*#@^~<>=+\\/_{}[]", "bar": "|", "shout": "!！", "space": " \t\n\r\x0b\x0c\u3000"}
+_NAMES = ["upper", *_CLASS]
+
+
+@cache
+def _classes() -> np.ndarray:
+    """By code point of the basic plane the number of its class in _NAMES, or the last number; others have none."""
+    out = np.full(1 << 16, len(_NAMES), np.uint8)
+    out[[c for c in range(1 << 16) if chr(c).isupper()]] = 0
+    for i, chars in enumerate(_CLASS.values(), 1):
+        out[[ord(c) for c in chars]] = i
+    return out
 
 
 def features(text: str) -> list[float]:
     words = text.split()
     n, m = max(1, len(words)), max(1, len(text))
-    by = np.bincount(np.frombuffer(text.encode("latin-1", "replace"), np.uint8), minlength=256)
+    codes = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)  # halves of surrogate pairs have no class
+    by = np.bincount(_classes()[codes], minlength=len(_NAMES))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     lines = [x for x in text.split("\n") if x]
     counts = Counter(words)
@@ -44,8 +57,7 @@ def features(text: str) -> list[float]:
         max(counts.values(), default=0) / n,
         len(set(zip(words, words[1:]))) / n,
         float((lengths <= 3).sum()) / n,
-        by[_UPPER].sum() / m,
-        *(by[_CLASS[k]].sum() / m for k in ("digit", "point", "symbol", "bar", "shout", "space")),
+        *(float(by[i]) / m for i in range(len(_NAMES))),
         np.log1p(len(lines)),
         1 - len(set(lines)) / max(1, len(lines)),
         np.log1p(float(lengths.max(initial=0))),
@@ -59,7 +71,7 @@ def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             for texts, ids in blocks(b.column(1).to_pylist(), b.column(0).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([features(t or "") for t in texts], pa.list_(pa.float64()))], ["doc_id", "f"])
 
@@ -171,11 +183,10 @@ class Additive:
 
 def fit(rows: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Additive:
     """rows: featured(). labels: doc_id, quality. usable: on doc_id, which labels may teach."""
-    known = labels.filter(usable & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
+    known = labels.filter(usable & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("double").alias("y"))
     n = known.count()
     if not n:
-        m = Additive(len(FEATURES))
-        return m
+        return Additive(len(FEATURES))
     known = known.filter(unit_hash("doc_id", salt="quality") < min(1.0, sample / n))
     got = rows.join(known, "doc_id").select("f", "y").toArrow()
     if not got.num_rows:
