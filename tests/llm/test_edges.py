@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from veilscan.llm import langid, quality, registry, secrets
+from veilscan.llm import langid, pii, quality, registry, secrets
 
 
 def _jwt(head: bytes) -> str:
@@ -137,3 +137,44 @@ def test_null_and_repeated_ids(spark, sf, frames, tmp_path, name):
     assert len(got) == n + 4 and got.doc_id.isna().sum() == 2
     counts = got.doc_id.value_counts()
     assert counts[2] == counts[91] == 2 and (counts.drop([2, 91]) == 1).all()
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    """Spans of terms by the definition of PMI, over a small table with rare values, shared domains and copies."""
+    import re
+
+    draw = np.random.default_rng(9)
+    vocabulary = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        words = list(draw.choice(vocabulary, 12))
+        if i % 16 == 0:
+            words += ["Zorblat", f"p{i}@rare.example"]  # a new address each time, one domain
+        elif i % 10 == 3:
+            words += ["quux", "10.1.2.3", "or"] + ["Quux"] * (i % 3)
+        elif i % 9 == 4:
+            words += [f"a{i}@common{i}.example", "seldom"]
+        rows.append((i, " ".join(words)))
+    rows += [(500, "seldom quux alone"), (501, None), (502, "")] + [(600, "plainly plainly u@copy.example copied")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, [(x.s, x.e) for x in r.terms]) for r in pii.analysed(docs).collect())
+
+    mail, ip = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
+    ents, terms = [], []
+    for _, t in rows:
+        t = t or ""
+        m, a = {x.lower() for x in re.findall(mail, t)}, set(re.findall(ip, t))
+        ents.append({("m", x) for x in m} | {("d", x.split("@")[1]) for x in m} | {("i", x) for x in a} | {("n", x.rpartition(".")[0]) for x in a})
+        bare = re.sub(f"{mail}|{ip}", "\1", t)
+        terms.append({w.lower() for w in re.findall(r"[\w'\x01-]+", bare) if "\1" not in w and not re.fullmatch("[a-z]{1,2}", w)})
+    n, told = len(rows), set()
+    for e in set().union(*ents):
+        having = [i for i in range(n) if e in ents[i]]
+        ic = math.log2(n / len(having))
+        for t in set().union(*(terms[i] for i in having)):
+            both, df = sum(t in terms[i] for i in having), sum(t in x for x in terms)
+            if ic >= 3 and len(having) >= 3 and both >= 3 and math.log2(n * both / (len(having) * df)) >= 0.8 * ic - 1e-12:
+                told.add(t)
+    want = sorted((i, [m.span() for m in re.finditer(r"[\w'-]+", t or "") if m.group().lower() in told and not any(b.start() < m.end() and m.start() < b.end() for b in re.finditer(f"{mail}|{ip}", t or ""))]) for i, t in rows)
+    assert {"zorblat", "quux", "copied"} <= told and "seldom" not in told
+    assert got == want

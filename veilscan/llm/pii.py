@@ -1,18 +1,22 @@
 r"""Personal data and the terms that give it away; DataFrame and SQL functions only.
 
 Base: patterns for e-mail addresses, IP addresses, payment cards and phone numbers. Then information-theoretic
-sanitisation: each distinct value found is a protected entity e. A term t of the texts that hold e discloses e
-as far as PMI(e; t) = log2(p(e, t) / (p(e) p(t))) comes up to e's information IC(e) = -log2 p(e); probabilities are
-shares of all documents, and e and t meet wherever they stand in a document. A term discloses where PMI >= disclose * IC
-and e has `support` documents with t; then every occurrence, in any document, is a span of its own, and sanitised()
-replaces it: removed where PMI >= remove * IC, else generalised to the class of its shape. Terms are words outside base
-spans, but for one or two small Latin letters. Statistics cover all documents.
+sanitisation: each distinct value found is a protected entity e, and so is the group that rare values belong to (a mail
+domain, an IP network, a card issuer, a phone prefix). A term t of the texts that hold e discloses e as far as
+PMI(e; t) = log2(p(e, t) / (p(e) p(t))) comes up to e's information IC(e) = -log2 p(e); probabilities are shares of all
+documents, and e and t meet wherever they stand in one. A term discloses where PMI >= disclose * IC, IC is `bits` or
+more and e has `support` documents with t; then every occurrence, in any document, is a span of its own, and sanitised() replaces it: removed where PMI >= remove * IC, else generalised to
+the class of its shape. Terms are words outside base spans, but for one or two small Latin letters.
+
+Pairs of entities and terms are counted first, in the documents that hold an entity with support; only terms of pairs with
+support are counted over all documents. Counts are aggregated before they are shuffled; texts never are.
 
 The patterns are written so that they find what the plain ones find, yet in linear time and without recursion: runs
 are possessive and start at a run's beginning or where the last match ended (\G).
 
 Edge cases: a null text is the empty text and has no span; repeated rows are documents of their own; ids may repeat or be
-null (rows are told apart by a number of their own); an empty table gives an empty result; other columns are ignored.
+null (rows are told apart by a number of their own); an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -65,13 +69,13 @@ def _listed(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(element_at(array({names}), x.k + 1), ':', x.s, ':', x.e)), ',')"
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """rid, term: each document's distinct terms outside its base spans; texts stay in place."""
+def _words(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns named in keep, and term: each document's distinct terms outside its base spans; texts stay in place."""
     # a base span becomes a mark that words next to it hold, and go with it
     gaps = "transform(sequence(0, size(base)), i -> named_struct('s', if(i = 0, 0, array_max(transform(slice(base, 1, i), x -> x.e))), 'e', if(i = size(base), length(t), get(base, i).s)))"
     rest = f"if(size(base) = 0, t, array_join(transform({gaps}, g -> if(g.e > g.s, substring(t, g.s + 1, g.e - g.s), '')), '{MARK}'))"
-    d = docs.select("rid", "base", F.expr(f"translate(t, '{MARK}', ' ')").alias("t")).select("rid", F.expr(rest).alias("t"))
-    return d.select("rid", F.explode(F.expr(f"array_distinct(transform(filter(split(t, '[^{MARK}{LETTERS}]++'), w -> {_is_term('w')}), w -> lower(w)))")).alias("term"))
+    d = docs.select(*keep, "base", F.expr(f"translate(t, '{MARK}', ' ')").alias("t")).select(*keep, F.expr(rest).alias("t"))
+    return d.select(*keep, F.explode(F.expr(f"array_distinct(transform(filter(split(t, '[^{MARK}{LETTERS}]++'), w -> {_is_term('w')}), w -> lower(w)))")).alias("term"))
 
 
 def _is_term(w: str) -> str:
@@ -79,46 +83,53 @@ def _is_term(w: str) -> str:
 
 
 def _entities(spans: str) -> str:
-    """A hash of kind and value (digits, lower case) for each span."""
-    return f"array_distinct(transform({spans}, x -> xxhash64(x.k, if(x.k in (2, 3), regexp_replace(x.v, '[^0-9]', ''), lower(x.v)))))"
+    """Hashes of what the spans name: kind and value (digits, lower case), and kind and group."""
+    value = "if(x.k in (2, 3), regexp_replace(x.v, '[^0-9]', ''), lower(x.v))"
+    group = "case x.k when 0 then substring_index(lower(x.v), '@', -1) when 1 then substring_index(x.v, '.', 3) when 2 then substring(regexp_replace(x.v, '[^0-9]', ''), 1, 6) else substring(regexp_replace(x.v, '[^0-9]', ''), 1, 5) end"
+    return f"array_distinct(concat(transform({spans}, x -> xxhash64(x.k, {value})), transform({spans}, x -> xxhash64(x.k + 10, {group}))))"
 
 
-def analysed(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95, support: int = 3, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def analysed(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95, support: int = 3, bits: float = 3.0, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and terms (arrays of spans; a term's v is 'remove' or 'generalise'), with_text: t, the text."""
     scratch = Scratch(docs.sparkSession, "pii")
-    found = scratch.table(base_spans(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()))
-    n = found.count()
-    told = scratch.table(disclosing(found, n, disclose, remove, support, scratch))
-    by = told.groupBy("term").agg(F.max("drop").alias("drop"))
-    by = checked(scratch.table(by))
+    found = base_spans(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
+    found = scratch.table(found)
+    told = disclosing(found, disclose, remove, support, bits, scratch)
+    none = "cast(array() as array<struct<s:int,k:int,e:int,v:string>>)"
+    if told is None:
+        return found.select("doc_id", *["t"] * with_text, "base", F.expr(none).alias("terms"))
+    by = checked(scratch.table(told.groupBy("term").agg(F.max("drop").alias("drop"))))
     # texts with a disclosing term; in them, every place of one
-    has = scratch.table(_words(found).join(by, "term", "left_semi").select("rid").distinct())
-    marked = found.join(checked(has), "rid", "left_semi").withColumn("m", matches("t", f"[{LETTERS}]++".replace("\\\\", "\\")))
-    at = marked.select("rid", "base", F.explode("m").alias("w")).filter(f"not w.v rlike '{SHORT}' and not exists(base, b -> b.s < w.e and w.s < b.e)")
-    added = at.select("rid", "w.s", "w.e", F.lower("w.v").alias("term")).join(by, "term")
-    added = added.groupBy("rid").agg(F.expr("array_sort(collect_list(named_struct('s', s, 'k', 4, 'e', e, 'v', if(drop, 'remove', 'generalise'))))").alias("terms"))
-    out = found.join(added, "rid", "left")
-    return out.select("doc_id", *["t"] * with_text, "base", F.expr("coalesce(terms, cast(array() as array<struct<s:int,k:int,e:int,v:string>>))").alias("terms"))
-
-
-def disclosing(found: DataFrame, n: int, disclose: float, remove: float, support: int, scratch: Scratch) -> DataFrame:
-    """term, drop: for entities and terms that meet in `support` documents or more and have enough PMI.
-
-    As both <= with_ent, PMI >= disclose * IC needs with_term <= with_ent * (n / with_ent) ** (1 - disclose): pairs beyond
-    that can't qualify and are never made."""
-    ents = found.filter("size(base) > 0").select("rid", F.explode(F.expr(_entities("base"))).alias("ent"))
-    often = ents.groupBy("ent").agg(F.count("*").alias("with_ent")).filter((F.col("with_ent") >= support) & (F.col("with_ent") < n))
-    often = often.withColumn("most", F.expr(f"with_ent * pow({n} / cast(with_ent as double), 1 - {disclose}) * (1 + 1e-9)"))
+    has = scratch.table(_words(found, "rid").join(by, "term", "left_semi").select("rid").distinct())
+    at = found.join(checked(has), "rid", "left_semi").select("rid", "base", F.explode(matches("t", f"[{LETTERS}]++".replace("\\\\", "\\"))).alias("w"))
+    at = at.select("rid", "base", "w.s", "w.e", "w.v", F.lower("w.v").alias("term")).join(by, "term")
+    at = at.filter(f"not v rlike '{SHORT}' and not exists(base, b -> b.s < e and s < b.e)")
+    added = at.groupBy("rid").agg(F.expr("array_sort(collect_list(named_struct('s', s, 'k', 4, 'e', e, 'v', if(drop, 'remove', 'generalise'))))").alias("terms"))
+    out = found.join(scratch.table(added), "rid", "left")
+    return out.select("doc_id", *["t"] * with_text, "base", F.expr(f"coalesce(terms, {none})").alias("terms"))
+
+
+def disclosing(found: DataFrame, disclose: float, remove: float, support: int, bits: float, scratch: Scratch) -> DataFrame | None:
+    """term, drop: for entities and terms that meet in `support` documents or more and have enough PMI; None where
+    no entity or no pair has so many."""
+    texts = F.count("*")
+    named = found.filter("size(base) > 0")
+    often = named.select(F.explode(F.expr(_entities("base"))).alias("ent")).groupBy("ent").agg(texts.alias("with_ent")).filter(F.col("with_ent") >= support)
     often = scratch.table(often)
-    ents = scratch.table(ents.join(checked(often), "ent"))
-    most = ents.agg(F.max("most")).first()[0] or 0.0
-    terms = _words(found).groupBy("term").agg(F.count("*").alias("with_term")).filter((F.col("with_term") >= support) & (F.col("with_term") <= most))
-    terms = scratch.table(terms)
-    stand = _words(found.join(ents.select("rid").distinct(), "rid", "left_semi")).join(checked(terms), "term")
-    both = ents.join(stand, "rid").filter("with_term <= most").groupBy("ent", "term").agg(F.count("*").alias("both"), F.first("with_ent").alias("with_ent"), F.first("with_term").alias("with_term"))
-    both = both.filter(F.col("both") >= support)
-    told = both.withColumn("pmi", F.expr(f"log2(both * cast({n} as double) / (cast(with_ent as double) * with_term))")).withColumn("ic", F.expr(f"log2({n} / cast(with_ent as double))"))
-    return told.filter(F.expr(f"ic > 0 and pmi >= {disclose} * ic")).select("term", F.expr(f"pmi >= {remove} * ic").alias("drop"))
+    if often.isEmpty():
+        return None
+    n = found.count()
+    often = checked(scratch.table(often.withColumn("ic", F.expr(f"log2({n} / cast(with_ent as double))")).filter(F.col("ic") >= bits)))
+    held = named.select("t", "base", F.explode(F.expr(_entities("base"))).alias("ent")).join(often, "ent")
+    pairs = _words(held, "ent", "with_ent", "ic").groupBy("ent", "with_ent", "ic", "term").agg(texts.alias("both")).filter(F.col("both") >= support)
+    pairs = scratch.table(pairs)
+    wanted = scratch.table(pairs.select("term").distinct())
+    if wanted.isEmpty():
+        return None
+    counts = _words(found).join(checked(wanted), "term", "left_semi").groupBy("term").agg(texts.alias("with_term"))
+    told = pairs.join(checked(scratch.table(counts)), "term").withColumn("pmi", F.expr(f"log2(both * cast({n} as double) / (cast(with_ent as double) * with_term))"))
+    told = scratch.table(told.filter(F.expr(f"pmi >= {disclose} * ic - 1e-12")).select("term", F.expr(f"pmi >= {remove} * ic - 1e-12").alias("drop")))
+    return None if told.isEmpty() else told
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
