@@ -24,7 +24,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.spans import matches
 from .common import Scratch, checked, read_table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -41,9 +40,9 @@ SHORT, MARK = "^[a-z]{1,2}$", "\x01"
 
 
 def _located(text: str, pattern: str) -> str:
-    """SQL: the matches of a pattern as array<struct<s, e, v>>, code points, end exclusive. Between two matches lies a
-    gap of split(); ends are running sums of gaps and matches."""
-    m, g = f"regexp_extract_all({text}, '{pattern}', 0)", f"split({text}, '{pattern}', -1)"
+    """SQL: the matches of a pattern (an SQL expression) as array<struct<s, e, v>>, code points, end exclusive. Between two
+    matches lies a gap of split(); ends are running sums of gaps and matches."""
+    m, g = f"regexp_extract_all({text}, {pattern}, 0)", f"split({text}, {pattern}, -1)"
     return (
         f"aggregate(zip_with({m}, {g}, (v, g) -> named_struct('v', v, 'g', g)), named_struct('p', 0, 'o', cast(array() as array<struct<s:int,e:int,v:string>>)), "
         "(a, x) -> if(x.v is null, a, named_struct('p', a.p + length(x.g) + length(x.v), 'o', concat(a.o, array(named_struct("
@@ -54,7 +53,7 @@ def _located(text: str, pattern: str) -> str:
 def _found(kind: str) -> str:
     needs, pattern, holds = PATTERNS[kind]
     needs, pattern = needs.replace("\\", "\\\\"), pattern.replace("\\", "\\\\")
-    at = f"transform(filter({_located('t', pattern)}, x -> {holds}), x -> named_struct('s', x.s, 'k', {KINDS.index(kind)}, 'e', x.e, 'v', x.v))"
+    at = f"transform(filter({_located('t', f"'{pattern}'")}, x -> {holds}), x -> named_struct('s', x.s, 'k', {KINDS.index(kind)}, 'e', x.e, 'v', x.v))"
     return f"if(t rlike '{needs}', {at}, cast(array() as array<struct<s:int,k:int,e:int,v:string>>))"
 
 
@@ -69,13 +68,14 @@ def _listed(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(element_at(array({names}), x.k + 1), ':', x.s, ':', x.e)), ',')"
 
 
-def _words(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns named in keep, and term: each document's distinct terms outside its base spans; texts stay in place."""
+def _words(docs: DataFrame, *keep: str, lower: bool = True) -> DataFrame:
+    """The columns named in keep, and term: each document's distinct terms outside its base spans (lower: in lower case);
+    texts stay in place."""
     # a base span becomes a mark that words next to it hold, and go with it
     gaps = "transform(sequence(0, size(base)), i -> named_struct('s', if(i = 0, 0, array_max(transform(slice(base, 1, i), x -> x.e))), 'e', if(i = size(base), length(t), get(base, i).s)))"
     rest = f"if(size(base) = 0, t, array_join(transform({gaps}, g -> if(g.e > g.s, substring(t, g.s + 1, g.e - g.s), '')), '{MARK}'))"
     d = docs.select(*keep, "base", F.expr(f"translate(t, '{MARK}', ' ')").alias("t")).select(*keep, F.expr(rest).alias("t"))
-    return d.select(*keep, F.explode(F.expr(f"array_distinct(transform(filter(split(t, '[^{MARK}{LETTERS}]++'), w -> {_is_term('w')}), w -> lower(w)))")).alias("term"))
+    return d.select(*keep, F.explode(F.expr(f"array_distinct(transform(filter(split(t, '[^{MARK}{LETTERS}]++'), w -> {_is_term('w')}), w -> {'lower(w)' if lower else 'w'}))")).alias("term"))
 
 
 def _is_term(w: str) -> str:
@@ -99,12 +99,13 @@ def analysed(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95, suppo
     if told is None:
         return found.select("doc_id", *["t"] * with_text, "base", F.expr(none).alias("terms"))
     by = checked(scratch.table(told.groupBy("term").agg(F.max("drop").alias("drop"))))
-    # texts with a disclosing term; in them, every place of one
-    has = scratch.table(_words(found, "rid").join(by, "term", "left_semi").select("rid").distinct())
-    at = found.join(checked(has), "rid", "left_semi").select("rid", "base", F.explode(matches("t", f"[{LETTERS}]++".replace("\\\\", "\\"))).alias("w"))
-    at = at.select("rid", "base", "w.s", "w.e", "w.v", F.lower("w.v").alias("term")).join(by, "term")
-    at = at.filter(f"not v rlike '{SHORT}' and not exists(base, b -> b.s < e and s < b.e)")
-    added = at.groupBy("rid").agg(F.expr("array_sort(collect_list(named_struct('s', s, 'k', 4, 'e', e, 'v', if(drop, 'remove', 'generalise'))))").alias("terms"))
+    # of texts with a disclosing term, the forms in which they have it; then the places of those, as whole words
+    has = _words(found, "rid", lower=False).withColumnRenamed("term", "form").join(by.withColumnRenamed("term", "known"), F.lower("form") == F.col("known"))
+    has = scratch.table(has.groupBy("rid").agg(F.expr("map_from_entries(collect_list(struct(form, drop)))").alias("forms")))
+    pattern = f"concat('(?<![{LETTERS}])(?:', array_join(transform(map_keys(forms), f -> concat('\\\\Q', f, '\\\\E')), '|'), ')(?![{LETTERS}])')"
+    at = found.join(has, "rid").withColumn("p", F.expr(pattern)).select("rid", "base", "forms", F.expr(_located("t", "p")).alias("m"))
+    free = "filter(m, w -> not exists(base, b -> b.s < w.e and w.s < b.e))"
+    added = at.select("rid", F.expr(f"array_sort(transform({free}, w -> named_struct('s', w.s, 'k', 4, 'e', w.e, 'v', if(forms[w.v], 'remove', 'generalise'))))").alias("terms"))
     out = found.join(scratch.table(added), "rid", "left")
     return out.select("doc_id", *["t"] * with_text, "base", F.expr(f"coalesce(terms, {none})").alias("terms"))
 
