@@ -1,11 +1,15 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-A text is the set of the 64-bit hashes of its shingles of `size` words. All sets are put in one order, shingles that are
-frequent in a sample of texts last. Two sets of similarity `least` or more share one of the first n - ceil(least * n) + 1
-shingles of either (n: its size), so the texts that share one of those are all pairs that can be similar; lengths and the
-places of the shared shingle rule most of them out, and the others are compared on whole sets. The sample settles the
-order alone, never the result. First each text is compared with the first and last one of a shingle, then texts that are
-not yet in one component with each other, so that a large family of copies costs no square of its size.
+"""Near copies by SimHash, held to the Jaccard similarity of word shingles: what simhash.dedup does for a similarity.
+
+A text is the set of the 64-bit hashes of its shingles of `size` words, and the fingerprint of that set. Fingerprints
+that differ in few bits are linked by simhash.links; each such pair is verified on whole sets, so that only texts of
+similarity `least` or more are linked. At 0.8 a pair's fingerprints differ in some ten bits of 64 on average, far beyond
+what partitions of the bits can be probed for; the pairs that such links miss are found on the sets themselves, again by
+the pigeonhole principle: all sets are put in one order, shingles that are frequent in a sample of texts last, and two
+sets of similarity `least` or more share one of the first n - ceil(least * n) + 1 shingles of either (n: its size).
+Lengths, the places of the shared shingle and the fingerprints rule most of those pairs out (more than FAR differing
+bits are five standard deviations off at 0.8), the others are compared on whole sets. The sample settles the order alone,
+never the result. First each text is compared with the first one of a shingle, then texts that are not yet in one
+component with each other, so that a large family of copies costs no square of its size.
 
 Edge cases: a null text and one without words are the empty set, all of which are alike; a text with fewer words than a
 shingle is one shingle; a null id has no component; repeated rows and ids are documents like any other; an empty table
@@ -19,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, checked, slices, unit_hash
-from .components import components, run_bounds, runs
-from .simhash import _LOWER, _WORDS
+from .components import components
+from .simhash import _LOWER, _WORDS, links, majority
 
 #: Texts that the order of shingles is taken from, and frequent shingles that it holds, at most.
 SAMPLE, FREQUENT = 5_000, 500_000
+#: Bits in which fingerprints may differ to be linked, and to be compared on whole sets.
+NEAR, FAR = 3, 26
+#: Words whose hashes a worker keeps.
+CACHE = 200_000
 _words: dict[str, int] = {}
 
 
@@ -40,7 +48,7 @@ def hashed(text: str, size: int) -> np.ndarray:
     words = _WORDS.findall(text.translate(_LOWER))
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 1_000_000:
+    if len(_words) > CACHE:
         _words.clear()
     for w in set(words):
         if w not in _words:
@@ -90,7 +98,8 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame, size: int, least: float) -> DataFrame:
-    """doc_id, sk (a key of the set), n (its size), first: array of the shingles that a similar set must share one of."""
+    """doc_id, sk (a key of the set), fp (its fingerprint), n (its size), first: array of the shingles that a similar set
+    must share one of."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, size))
 
     def run(batches):
@@ -99,40 +108,73 @@ def sets(docs: DataFrame, size: int, least: float) -> DataFrame:
         often, count = sent.value
         for b in slices(batches):
             for texts, ids in blocks(b.column(1).to_pylist(), b.column(0).to_pylist()):
-                sk, n, first = [], [], []
+                sk, fp, n, first = [], [], [], []
                 for t in texts:
                     h = hashed(t or "", size)
                     sk.append(_set_key(h))
+                    fp.append(majority(h))
                     n.append(len(h))
                     if len(often) and len(h):
                         at = np.minimum(np.searchsorted(often, h), len(often) - 1)
                         h = h[np.argsort(np.where(often[at] == h, count[at], 0), kind="stable")]
                     first.append(h[: _prefix(len(h), least)].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sk, pa.int64()), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "sk", "n", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sk, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "sk", "fp", "n", "first"])
 
-    return docs.mapInArrow(run, "doc_id bigint, sk bigint, n int, first array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, sk bigint, fp bigint, n int, first array<bigint>")
 
 
 def _shared(batches):
-    """Of rows h, sk, n, pos sorted by h, those whose h comes more than once."""
-    for t in runs(batches, 1):
-        starts, ends = run_bounds(t, 1)
-        t = t.filter(np.repeat(ends - starts > 1, ends - starts))
-        yield from t.to_batches()
-
-
-def _may(a: str, b: str, least: float) -> str:
-    """SQL: whether sets a and b can be similar if this is the first shingle that they share."""
-    return f"{a}.sk <> {b}.sk and least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {least / (1 + least)!r} * ({a}.n + {b}.n) - 1e-6"
+    """Of rows h, sk, n, pos sorted by h and sk, one for each h and sk, where h has several sk; with the first row of its h.
+    No more than a batch and a row is held."""
+    import pyarrow as pa
+
+    names = ["h", "sk", "n", "pos"]
+    held, told, last = None, False, None  # the first row of the h that goes on, whether it was given out, the last sk
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy() for i in range(4)]
+        ahead = held is not None and held[0] == cols[0][0]
+        if ahead:
+            cols = [np.r_[x, c] for x, c in zip(held, cols, strict=True)]
+        h, sk = cols[0], cols[1]
+        new = np.r_[True, h[1:] != h[:-1]]
+        again = np.r_[False, ~new[1:] & (sk[1:] == sk[:-1])]
+        if ahead and len(sk) > 1:
+            again[1] = sk[1] in (sk[0], last)
+        last = sk[-1]
+        cols = [c[~again] for c in cols]
+        new = new[~again]
+        starts = np.nonzero(new)[0]
+        sizes = np.diff(np.r_[starts, len(new)])
+        first = np.repeat(starts, sizes)
+        use = np.repeat(sizes > 1, sizes)
+        if ahead and told:
+            use[0] = False
+        held, told = [c[starts[-1]] for c in cols], bool(sizes[-1] > 1) or (ahead and told and len(starts) == 1)
+        rows = np.nonzero(use)[0]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in cols), *(pa.array(c[first[rows]]) for c in cols[1:])], [*names, "lsk", "ln", "lpos"])
+
+
+def _may(a: tuple[str, str, str], b: tuple[str, str, str], least: float) -> str:
+    """SQL: whether sets with these columns sk, n, pos can be similar if this is the first shingle that they share."""
+    return f"{a[0]} <> {b[0]} and least({a[1]} - {a[2]}, {b[1]} - {b[2]}) >= {least / (1 + least)!r} * ({a[1]} + {b[1]}) - 1e-6"
+
+
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, least: float, scratch: Scratch) -> DataFrame:
     """pairs: a, b (set keys). Those whose sets are similar; sets are made again, from one text each."""
-    pairs = scratch.table(pairs)
-    keys = pairs.select(F.col("a").alias("sk")).union(pairs.select(F.col("b").alias("sk"))).distinct()
-    ids = checked(scratch.table(rows.join(keys, "sk", "left_semi").groupBy("sk").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()))
-    whole = _hashes(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), size).select("sk", "hs").dropDuplicates(["sk"])
+    fps = rows.groupBy("sk").agg(F.first("fp").alias("fp"))
+    near = pairs.join(fps.select(F.col("sk").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("sk").alias("b"), F.col("fp").alias("fb")), "b")
+    pairs = scratch.table(near.filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR).select("a", "b").distinct())
+    keys = scratch.table(pairs.select(F.col("a").alias("sk")).union(pairs.select(F.col("b").alias("sk"))).distinct())
+    ids = checked(scratch.table(rows.join(checked(keys), "sk", "left_semi").groupBy("sk").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()))
+    whole = _hashes(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), size).join(checked(keys), "sk", "left_semi").select("sk", "hs")
     whole = scratch.table(whole)
+    whole = scratch.table(whole.groupBy("sk").agg(F.first("hs").alias("hs")))
     a, b = whole.select(F.col("sk").alias("a"), F.col("hs").alias("ha")), whole.select(F.col("sk").alias("b"), F.col("hs").alias("hb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("ha", "hb")))
     return scratch.table(both.filter(f"same >= {least!r} * (size(ha) + size(hb) - same) - 1e-9").select("a", "b"))
@@ -145,32 +187,33 @@ def clustered(docs: DataFrame, least: float = 0.8, size: int = 5, id_col: str =
     docs = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").filter("doc_id is not null")
     rows = scratch.table(sets(docs, size, least))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    one = rows.groupBy("sk").agg(F.min("doc_id").alias("doc_id"))
-    thin = rows.join(one, ["sk", "doc_id"], "left_semi").select("sk", "n", F.posexplode("first").alias("pos", "h")).select("h", "sk", "n", "pos")
-    shared = scratch.table(thin.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shared, "h bigint, sk bigint, n int, pos int").distinct())
-    ends = shared.groupBy("h").agg(F.min(F.struct("sk", "n", "pos")).alias("lo"), F.max(F.struct("sk", "n", "pos")).alias("hi"))
-    ends = ends.select("h", F.explode(F.array("lo", "hi")).alias("b")).select("h", "b.*")
-    star = shared.alias("a").join(ends.alias("b"), "h").filter(_may("a", "b", least))
-    found = verified(star.select(F.least("a.sk", "b.sk").alias("a"), F.greatest("a.sk", "b.sk").alias("b")).distinct(), docs, rows, size, least, scratch)
+    # fingerprints first: equal ones by their smallest set key, others by few differing bits
+    fps = scratch.table(rows.groupBy("fp").agg(F.min("sk").alias("rep")))
+    equal = rows.select("sk", "fp").distinct().join(fps, "fp").filter("sk <> rep").select(*_ordered("sk", "rep"))
+    close = links(fps, NEAR, scratch).select(*_ordered("a", "b"))
+    found = verified(equal.unionByName(close), docs, rows, size, least, scratch)
     comp = scratch.table(components(found))
-    left = shared.join(comp, shared["sk"] == comp["node"], "left").select(*shared.columns, F.coalesce("component_id", "sk").alias("c"))
-    left = scratch.table(left)
+    # then sets that share one of their first shingles; of equal sets one row each
+    more = scratch.table(rows.groupBy("sk").agg(F.count("*").alias("k"), F.min("doc_id").alias("low")).filter("k > 1").select("sk", "low"))
+    one = rows.join(checked(more), "sk", "left").filter("low is null or doc_id = low")
+    thin = one.select("sk", "n", F.posexplode("first").alias("pos", "h")).select("h", "sk", "n", "pos")
+    schema = "h bigint, sk bigint, n int, pos int, lsk bigint, ln int, lpos int"
+    shared = scratch.table(thin.repartition(parts, "h").sortWithinPartitions("h", "sk", "pos").mapInArrow(_shared, schema))
+    known = checked(comp)
+    first = shared.filter(_may(("sk", "n", "pos"), ("lsk", "ln", "lpos"), least)).select(*_ordered("sk", "lsk")).distinct()
+    first = first.join(known.select(F.col("node").alias("a"), F.col("component_id").alias("ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component_id").alias("cb")), "b", "left")
+    found = verified(first.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), docs, rows, size, least, scratch)
+    old = comp.select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+    comp = scratch.table(components(old.unionByName(found)))
+    left = shared.select("h", "sk", "n", "pos").join(checked(comp), shared["sk"] == comp["node"], "left").select("h", "sk", "n", "pos", F.coalesce("component_id", "sk").alias("c"))
     # shingles whose texts are all in one component are done with
     open_ = left.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
     left = scratch.table(left.join(open_, "h", "left_semi"))
-    cross = left.alias("a").join(left.alias("b"), "h").filter("a.sk < b.sk and a.c <> b.c").filter(_may("a", "b", least)).select(F.col("a.sk").alias("a"), F.col("b.sk").alias("b")).distinct()
-    more = verified(cross, docs, rows, size, least, scratch)
-    if not more.isEmpty():
-        comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(more)))
-    named = rows.select("doc_id", "sk").join(comp, rows["sk"] == comp["node"], "left").select("doc_id", F.coalesce("component_id", "sk").alias("c"))
-    named = scratch.table(named)
+    cross = left.alias("a").join(left.alias("b"), "h").filter("a.sk < b.sk and a.c <> b.c").filter(_may(("a.sk", "a.n", "a.pos"), ("b.sk", "b.n", "b.pos"), least))
+    found = verified(cross.select(F.col("a.sk").alias("a"), F.col("b.sk").alias("b")).distinct(), docs, rows, size, least, scratch)
+    if not found.isEmpty():
+        comp = scratch.table(components(comp.select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(found)))
+    named = scratch.table(rows.select("doc_id", "sk").join(checked(comp), F.col("sk") == F.col("node"), "left").select("doc_id", F.coalesce("component_id", "sk").alias("c")))
     low = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    scratch.drop(shared, left)
     return named.join(low, "c").select("doc_id", "component_id")
-
-
-def dedup(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
-    """docs without those of a component that are not its smallest id; rows with a null id stay."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    go = checked(scratch.table(clustered(docs, least, size).filter("doc_id <> component_id").select(F.col("doc_id").alias("go_id")).distinct()))
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(go, F.col("row.doc_id") == F.col("go_id"), "left_anti").select("row.*")

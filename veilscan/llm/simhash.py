@@ -42,10 +42,13 @@ def shingles(text: str, size: int) -> list[str]:
 def fingerprint(text: str, size: int = 3) -> int:
     from xxhash import xxh64_intdigest
 
-    parts = [xxh64_intdigest(s, 42) for s in shingles(text, size)]
-    if not parts:
+    return majority(np.array([xxh64_intdigest(s, 42) for s in shingles(text, size)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    if not len(h):
         return 0
-    h = np.array(parts, np.uint64)
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
@@ -280,10 +283,14 @@ def clustered(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "do
     return rows.join(to, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def dedup(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
-    """docs without those of a component that are not its smallest id; rows with a null id stay."""
+def dedup(docs: DataFrame, radius: int = 3, size: int = 3, similarity: float | None = None) -> DataFrame:
+    """docs without those of a component that are not its smallest id; rows with a null id stay. With a similarity,
+    components are of texts whose sets of shingles have that Jaccard similarity or more (jaccard.clustered)."""
+    from . import jaccard
+
+    found = clustered(docs, radius, size) if similarity is None else jaccard.clustered(docs, similarity, size)
     scratch = Scratch(docs.sparkSession, "simhash")
-    go = checked(scratch.table(clustered(docs, radius, size).filter("doc_id <> component_id").select(F.col("doc_id").alias("go_id")).distinct()))
+    go = checked(scratch.table(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("go_id")).distinct()))
     rows = docs.select(F.struct("*").alias("row"))
     return rows.join(go, F.col("row.doc_id") == F.col("go_id"), "left_anti").select("row.*")
 
