@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilscan.llm import bpe, exact_dedup, jaccard, langid, mixing
+from veilscan.llm import bpe, exact_dedup, langid, mixing, simhash
 from veilscan.llm.common import Scratch, read_table
 
 
@@ -23,7 +23,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more (Jaccard, shingles of five words), the one with the smallest doc_id."""
-    return jaccard.dedup(docs)
+    return simhash.dedup(docs, size=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
