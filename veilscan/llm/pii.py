@@ -9,7 +9,8 @@ more and e has `support` documents with t; then every occurrence, in any documen
 the class of its shape. Terms are words outside base spans, but for one or two small Latin letters.
 
 Pairs of entities and terms are counted first, in the documents that hold an entity with support; only terms of pairs with
-support are counted over all documents. Counts are aggregated before they are shuffled; texts never are.
+support are counted over all documents. Counts are aggregated before they are shuffled; texts are only where the list
+of documents with a disclosing term is too large to be broadcast.
 
 The patterns are written so that they find what the plain ones find, yet in linear time and without recursion: runs
 are possessive and start at a run's beginning or where the last match ended (\G).
@@ -101,11 +102,12 @@ def analysed(docs: DataFrame, disclose: float = 0.8, remove: float = 0.95, suppo
     by = checked(scratch.table(told.groupBy("term").agg(F.max("drop").alias("drop"))))
     # of texts with a disclosing term, the forms in which they have it; then the places of those, as whole words
     has = _words(found, "rid", lower=False).withColumnRenamed("term", "form").join(by.withColumnRenamed("term", "known"), F.lower("form") == F.col("known"))
-    has = scratch.table(has.groupBy("rid").agg(F.expr("map_from_entries(collect_list(struct(form, drop)))").alias("forms")))
-    pattern = f"concat('(?<![{LETTERS}])(?:', array_join(transform(map_keys(forms), f -> concat('\\\\Q', f, '\\\\E')), '|'), ')(?![{LETTERS}])')"
-    at = found.join(has, "rid").withColumn("p", F.expr(pattern)).select("rid", "base", "forms", F.expr(_located("t", "p")).alias("m"))
+    forms = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("form")))), "|")
+    has = checked(scratch.table(has.groupBy("rid").agg(forms(F.col("drop")).alias("gone"), forms(~F.col("drop")).alias("vague"))))
+    pattern = f"concat('(?<![{LETTERS}])(?:', concat_ws('|', nullif(gone, ''), nullif(vague, '')), ')(?![{LETTERS}])')"
+    at = found.join(has, "rid").withColumn("p", F.expr(pattern)).select("rid", "base", F.split("gone", "[|]").alias("gone"), F.expr(_located("t", "p")).alias("m"))
     free = "filter(m, w -> not exists(base, b -> b.s < w.e and w.s < b.e))"
-    added = at.select("rid", F.expr(f"array_sort(transform({free}, w -> named_struct('s', w.s, 'k', 4, 'e', w.e, 'v', if(forms[w.v], 'remove', 'generalise'))))").alias("terms"))
+    added = at.select("rid", F.expr(f"array_sort(transform({free}, w -> named_struct('s', w.s, 'k', 4, 'e', w.e, 'v', if(array_contains(gone, w.v), 'remove', 'generalise'))))").alias("terms"))
     out = found.join(scratch.table(added), "rid", "left")
     return out.select("doc_id", *["t"] * with_text, "base", F.expr(f"coalesce(terms, {none})").alias("terms"))
 
