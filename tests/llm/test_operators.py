@@ -199,6 +199,23 @@ def test_mix(spark, run, frames, sf):
     assert mix.count() == (d.taken[d["size"] > 0] // d["size"][d["size"] > 0]).sum()
 
 
+def test_mix_of_equal_rows(spark):
+    """Rows that are equal in all columns have copies of their own; the closed form of each source tells how many."""
+    rows = [(1, "a b c", "s0")] * 50 + [(None, "a b c d", "s1")] * 20 + [(i, "w " * (1 + i % 7), "s2") for i in range(200)] + [(7, None, "s3"), (8, "", None), (9, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    q = mixing.queue(docs).toPandas()
+    mix = mixing.mixed(docs).toPandas()
+    for name, g in q.groupby(q.source.fillna("?")):
+        words = mix[mix.source.fillna("?") == name].text.str.split().str.len().sum()
+        assert words == g.taken.sum() and abs(words - g.target.iloc[0]) <= g["size"].max()
+        # a source is served in the order of its queue: all rounds before the cut, then a prefix of the last
+        served = sorted((r * g.source_size.iloc[0] + a, n) for a, n, c in zip(g.queued, g["size"], g.copies) for r in range(c) if n)
+        assert [a for a, _ in served] == list(np.cumsum([0] + [n for _, n in served])[:-1])
+    assert q.taken.sum() <= q["size"].sum() and q.taken.sum() > q["size"].sum() - 7
+    again = mixing.mixed(docs).toPandas()
+    assert again.fillna(-1).values.tolist() == mix.fillna(-1).values.tolist()
+
+
 def test_toxicity(spark, run):
     d = run("op5_toxicity")
     assert all(d.held_out == [crc(i) % 5 == 0 for i in d.doc_id]) and d.score.between(0, 1).all() and all(d.predicted == (d.score >= 0.5))
@@ -320,12 +337,29 @@ def test_exact_dedup(spark, run, sf):
 def test_index_compacts(spark):
     index = exact_dedup.DigestIndex(spark, "smallest", fanout=3)
     for i in range(7):
-        index.flush(spark.range(i * 10, i * 10 + 10).selectExpr("unhex(sha2(cast(id % 25 as string), 256)) digest", "id"))
+        index.flush(index.memtable(spark.range(i * 10, i * 10 + 10).selectExpr("unhex(sha2(cast(id % 25 as string), 256)) digest", "id")))
     assert [len(level) for level in index.levels] == [1, 2]
     seen = {r.id: r.n for r in index.view().collect()}
     assert set(seen) == set(range(25)) and sum(seen.values()) == 70
 
 
+def test_index_skips_runs(spark):
+    """Runs out of range, or without any of the digests by their filters, aren't read; what is there is always found."""
+    of = lambda low, high, first: spark.range(low, high).selectExpr(f"unhex(concat('{first}', substring(sha2(cast(id as string), 256), 3))) digest", "id")
+    index = exact_dedup.DigestIndex(spark, "largest", fanout=9)
+    for low, first in ((0, "11"), (2000, "11"), (4000, "ee")):
+        index.flush(index.memtable(of(low, low + 2000, first)))
+    assert index.probe(index.memtable(of(0, 0, "11"))) is None and (index.read, index.skipped) == (0, 0)
+    got = index.probe(index.memtable(of(1990, 2010, "11")))
+    assert got.count() == 20 and (index.read, index.skipped) == (2, 1)
+    assert index.probe(index.memtable(of(9000, 9001, "11"))) is None and (index.read, index.skipped) == (2, 4)
+    assert index.probe(index.memtable(of(0, 10, "aa"))) is None or index.skipped > 4
+    every = index.probe(index.memtable(of(0, 4000, "11").unionByName(of(4000, 6000, "ee"))))
+    assert every.count() == 6000
+    some = index.probe(index.memtable(of(10_000, 11_000, "11").unionByName(of(5, 6, "11"))))
+    assert some.count() == 1
+
+
 def test_pipeline(spark, sf, empty, frames, run):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     scratch = corpus_pipeline.Scratch(spark, "test")
