@@ -178,3 +178,41 @@ def test_disclosing_terms_against_brute_force(spark):
     want = sorted((i, [m.span() for m in re.finditer(r"[\w'-]+", t or "") if m.group().lower() in told and not any(b.start() < m.end() and m.start() < b.end() for b in re.finditer(f"{mail}|{ip}", t or ""))]) for i, t in rows)
     assert {"zorblat", "quux", "copied"} <= told and "seldom" not in told
     assert got == want
+
+
+def _links(rows, least):
+    """n_links and component_id by row, over all pairs."""
+    good = [v is not None and len(v) > 0 and all(c is not None and math.isfinite(c) for c in v) and any(v) for _, v in rows]
+    scaled = [np.array(v, float) / max(map(abs, v)) if g else None for (_, v), g in zip(rows, good, strict=True)]
+    x = [v if v is None else v / np.linalg.norm(v) for v in scaled]
+    near = [[j for j in range(len(rows)) if j != i and good[i] and good[j] and len(x[i]) == len(x[j]) and x[i] @ x[j] >= least] for i in range(len(rows))]
+    low, change = [i for i, _ in rows], True
+    while change:
+        change = False
+        for i, js in enumerate(near):
+            m = min([low[i], *(low[j] for j in js)], key=lambda k: (k is None, k))
+            if m != low[i]:
+                low[i], change = m, True
+    return [len(js) for js in near], low
+
+
+def test_vectors_of_all_dimensions(spark):
+    from veilscan.llm import embeddings
+
+    draw = np.random.default_rng(3)
+    rows, i = [], 0
+    for dim, n in ((16, 30), (3, 12), (1, 4), (2, 4), (17, 9), (64, 6)):
+        base = draw.standard_normal((3, dim))
+        for k in range(n):
+            rows.append((i, [float(c) for c in (base[k % 3] + 0.02 * draw.standard_normal(dim))]))
+            i += 1
+    rows += [(i, [1.0, 0.0]), (i + 1, [1.0]), (i + 2, [1.0, 0.0, 0.0]), (i + 3, []), (i + 4, None), (i + 5, [0.0]), (i + 6, [1e300, 1e300]), (i + 7, [1e-300, 1e-300])]
+    rows += [(5, rows[5][1]), (5, rows[9][1])]  # ids that repeat
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = embeddings.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    links, low = _links(rows, 0.95)
+    assert sum(r.n_links for r in got) >= 0.95 * sum(links)
+    assert set((r.vec_id, r.component_id) for r in got) ^ set((k, c) for (k, _), c in zip(rows, low, strict=True)) == set()
+    nulls = spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [2.0, -1.0])], "vec_id bigint, embedding array<double>")
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embeddings.near_duplicates(nulls).collect()) == [(0, 2, 3), (0, 2, 3), (3, 2, 3), (4, 0, 4)]
