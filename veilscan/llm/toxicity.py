@@ -339,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
         return Toxicity()
     share = {y: min(1.0, sample / k, chars / max(1, size)) for y, (k, size) in n.items()}
     some = known.filter(unit_hash("doc_id", salt="toxic") < F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
-    got = docs.select("doc_id", "text").join(some, "doc_id").orderBy("doc_id", "y", "text").select("text", "y").toArrow()
+    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id", "y", "text").select("text", "y").toArrow()
     y = got.column(1).to_pylist()
     stand = tuple(n.get(v, (0, 0))[0] / max(1, y.count(v)) for v in (0, 1))
     return Toxicity.fit([t or "" for t in got.column(0).to_pylist()], y, stand_for=stand)
