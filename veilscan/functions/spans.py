@@ -62,26 +62,28 @@ def page_label(h: Column) -> Column:
     return F.concat(F.lit("p."), (h["pg"] + 1).cast("string"), F.lit(" L"), (h["ln"] + 1).cast("string"))
 
 
-def last_start(cells: Column, offset: Column) -> Column:
-    """Index of the last cell that starts at or before the offset, by binary search; -1 before the first."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(cells).alias("hi"))
+def last_start(starts: Column, offset: Column) -> Column:
+    """Index of the last of ascending numbers (array<int>) that is at or before the offset, by binary search; -1 before
+    the first."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(starts).alias("hi"))
 
     def halve(a: Column, _: Column) -> Column:
         return let(
             F.floor((a["lo"] + a["hi"]) / 2).cast("int"),
             lambda mid: F.when(a["lo"] >= a["hi"], a)
-            .when(F.get(cells, mid)["start"] <= offset, F.struct((mid + 1).alias("lo"), a["hi"].alias("hi")))
+            .when(F.get(starts, mid) <= offset, F.struct((mid + 1).alias("lo"), a["hi"].alias("hi")))
             .otherwise(F.struct(a["lo"].alias("lo"), mid.alias("hi"))),
         )
 
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(cells), F.lit(1)) + 1)).cast("int"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(starts), F.lit(1)) + 1)).cast("int"))
     return F.aggregate(steps, start, halve, lambda a: a["lo"]) - 1
 
 
 def cell_label(cells: Column, offset: Column) -> Column:
+    """Sheet, column letters and row of the cell that an offset lies in; null before the first. cells: CELLS."""
     from .scalars import column_letters
 
     return let(
-        last_start(cells, offset),
-        lambda i: F.when(i >= 0, let(F.get(cells, i), lambda c: F.concat(c["sheet"], F.lit("!"), column_letters(c["col"]), c["row"].cast("string")))),
+        last_start(cells["start"], offset),
+        lambda i: F.when(i >= 0, F.concat(F.get(cells["sheet"], last_start(cells["first"], i)), F.lit("!"), column_letters(F.get(cells["col"], i)), F.get(cells["row"], i).cast("string"))),
     )

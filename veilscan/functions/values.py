@@ -10,6 +10,7 @@ VERSION = "0.1.0"
 RRN, FOREIGN, PASSPORT, DRIVER = "주민등록번호", "외국인등록번호", "여권번호", "운전면허번호"
 PHONE, LANDLINE, EMAIL = "휴대폰", "유선전화", "이메일"
 EXPOSED, MASKED = "노출", "마스킹"
+EXTRACTION, PARTIAL = "추출 실패: ", "탐지 일부 실패: "
 CONFIRMED, PRESUMED = "confirmed", "추정"
 CRITICAL, HIGH, MEDIUM, LOW = "최상", "높음", "중간", "낮음"
 MASK_CHARS = "*●■○xX＊"
@@ -22,7 +23,10 @@ KEY_TYPES = [RRN, FOREIGN, PASSPORT, DRIVER]
 EXTENSIONS = [".txt", ".csv", ".hwpx", ".docx", ".xlsx", ".xls", ".pdf", ".hwp", ".png", ".jpg", ".jpeg"]
 EXCLUDED_DIRS = [".git", "__pycache__"]
 
-CELL = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("sheet", T.StringType()), T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType())])
+_INTS = T.ArrayType(T.IntegerType())
+
+#: The places of a text's cells, packed: where each starts, its row and column (from 1); and by sheet its first cell and name.
+CELLS = T.StructType([T.StructField("start", _INTS), T.StructField("row", _INTS), T.StructField("col", _INTS), T.StructField("first", _INTS), T.StructField("sheet", T.ArrayType(T.StringType()))])
 
 TEXTS = T.StructType(
     [
@@ -30,9 +34,12 @@ TEXTS = T.StructType(
         T.StructField("file_seq", T.LongType()),
         T.StructField("text", T.StringType()),
         T.StructField("loc_kind", T.StringType()),
-        T.StructField("cells", T.ArrayType(CELL)),
+        T.StructField("cells", CELLS),
         T.StructField("error", T.StringType()),
         T.StructField("encrypted", T.BooleanType()),
+        T.StructField("unreadable", T.BooleanType()),
+        T.StructField("found", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("status", T.StringType()), T.StructField("snippet", T.StringType()), T.StructField("confidence", T.StringType())]))),
+        T.StructField("failed", T.ArrayType(T.StringType())),
     ]
 )
 

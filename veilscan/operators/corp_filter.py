@@ -11,19 +11,15 @@ LEAST, SHARE = 3, 0.7
 _CELL = r"(?d)^(.+)!([A-Z]+)\d+$"
 
 
-def mark_corp(hits: DataFrame, file: str = "path") -> DataFrame:
-    """hits (file, location, pii_type, corp_suspect) with a column corp_dropped. Findings outside cells stand for
+def mark_corp(hits: DataFrame, *file: str) -> DataFrame:
+    """hits (the columns in file, path by default, location, pii_type, corp_suspect) with a column corp_dropped. Findings outside cells stand for
     themselves: they are dealt out by their place, not gathered by file."""
     letters = F.regexp_extract("location", _CELL, 2)
     cell = F.coalesce(letters != "", F.lit(False))
     column = F.when(cell, F.concat(F.regexp_extract("location", _CELL, 1), F.lit("!"), letters)).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64("location"), F.lit(64)).cast("string")))
-    w = Window.partitionBy(file, "_column", "pii_type")
+    w = Window.partitionBy(*(file or ("path",)), "_column", "pii_type")
     suspects = F.count_if(F.coalesce("corp_suspect", F.lit(False))).over(w)
     n = F.count("*").over(w)
     out = hits.withColumn("_column", column).withColumn("_cell", cell)
     dropped = F.col("_cell") & F.coalesce("corp_suspect", F.lit(False)) & (n >= LEAST) & (suspects / n >= SHARE)
     return out.withColumn("corp_dropped", dropped).drop("_column", "_cell")
-
-
-def filter_corp(hits: DataFrame, file: str = "path") -> DataFrame:
-    return mark_corp(hits, file).filter("not corp_dropped").drop("corp_dropped", "corp_suspect")

@@ -4,7 +4,7 @@ decided by column expressions on the exploded matches. The raw value never leave
 from __future__ import annotations
 
 import datetime
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +34,18 @@ class Detector:
     default: bool = True
 
 
+@dataclass(frozen=True)
+class PythonDetector:
+    """A detector of one's own. find: of a text its findings, as (start, end, status, masked value, confidence), in code
+    points; it must not give the value itself. It runs where texts are extracted; what it raises costs the file this
+    detector's findings alone, and is told by the exception's type."""
+
+    key: str
+    pii_type: str
+    risk: str
+    find: Callable[[str], Iterable[tuple[int, int, str, str, str]]]
+
+
 @dataclass(frozen=True)
 class ScanConfig:
     disabled: frozenset = frozenset()
@@ -41,6 +53,7 @@ class ScanConfig:
     exclude_dirs: tuple = tuple(V.EXCLUDED_DIRS)
     extensions: tuple = tuple(V.EXTENSIONS)
     reference_year: int = field(default_factory=lambda: datetime.date.today().year)
+    python: tuple[PythonDetector, ...] = ()
 
     def __post_init__(self):
         if unknown := (set(self.disabled) | set(self.enabled)) - DETECTORS.keys():
@@ -104,6 +117,11 @@ def _landline(v: Column, year: int) -> Column:
     return _says(~((F.length(head) == 3) & head.startswith("01")), F.lit(False), F.lit(False), F.concat(head, F.lit("-***-"), _tail(v)))
 
 
+#: A local part is tried where its run of characters begins or the last match ended, and only as a whole: the same matches
+#: as the plain pattern's, in linear time.
+_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\-]))[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+
+
 def _email(v: Column, year: int) -> Column:
     return _says(F.lit(True), F.lit(False), F.lit(True), S.email_snippet(v))
 
@@ -124,7 +142,7 @@ DETECTORS: dict[str, Detector] = {
         Detector("driver", V.DRIVER, V.CRITICAL, rf"(?<![0-9A-Za-z]){_M}{{2}}{_SEP}{_M}{{2}}{_SEP}{_M}{{6}}{_SEP}{_M}{{2}}(?![0-9])", f"{_M}{{2}}{_SEP}{_M}{{6}}{_SEP}", _driver),
         Detector("phone", V.PHONE, V.HIGH, rf"(?U)(?<![0-9])(01[016789]){_SPACE}({_M}{{3,4}}){_SPACE}(\d{{4}})(?![0-9])", "01[016789]", _mobile),
         Detector("landline", V.LANDLINE, V.LOW, _LANDLINE, r"(?U)0\d", _landline),
-        Detector("email", V.EMAIL, V.MEDIUM, r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "@", _email),
+        Detector("email", V.EMAIL, V.MEDIUM, _EMAIL, "@", _email),
     )
 }
 ORDER = {k: i for i, k in enumerate(DETECTORS)}
@@ -153,21 +171,54 @@ def _location(loc_kind: str | None, cells: str | None, h: Column) -> Column:
     return out.otherwise(line_label(h))
 
 
-def detect(df: DataFrame, text_col: str = "text", config: ScanConfig | None = None, keep: Iterable[str] = (), loc_kind: str | None = None, cells: str | None = None) -> DataFrame:
+#: A finding of a detector in Python: its key, place, status, masked value and confidence.
+FOUND = "array<struct<key:string,start:int,end:int,status:string,snippet:string,confidence:string>>"
+
+
+def detect(
+    df: DataFrame, text_col: str = "text", config: ScanConfig | None = None, keep: Iterable[str] = (), loc_kind: str | None = None, cells: str | None = None, found: str | None = None, whole: bool = False
+) -> DataFrame:
     """One row per finding: the columns named in keep, then det_seq, start, end, pii_type, status, snippet, confidence,
     risk, location, corp_suspect. loc_kind: a column that says line, page or cell (all lines without it); cells: the
-    column with the cells' places."""
+    column with the cells' places; found: a column with findings of detectors in Python (FOUND). whole: each row of df
+    also gives a row with det_seq -1 and no finding. What a match means is decided once, before it becomes a row."""
     config = config or ScanConfig()
     detectors, keep = build_detectors(config), list(keep)
-    if not detectors:
-        detectors, df = list(DETECTORS.values())[-1:], df.filter(F.lit(False))
-    shown = lambda d: F.transform(
-        matches(text_col, d.pattern, d.needs),
-        lambda h: F.struct(F.lit(ORDER[d.key]).alias("det_seq"), h["s"].alias("start"), h["e"].alias("end"), h["v"].alias("v"), _location(loc_kind, cells, h).alias("location")),
-    )
-    rows = df.select(*keep, F.explode(F.concat(*[shown(d) for d in detectors])).alias("h")).select(*keep, "h.*")
-    by = lambda f: F.coalesce(*[F.when(F.col("det_seq") == ORDER[d.key], f(d)) for d in detectors])
-    rows = rows.withColumn("said", by(lambda d: d.decide(F.col("v"), config.reference_year))).filter("said.keep")
-    return rows.select(
-        *keep, "det_seq", "start", "end", by(lambda d: F.lit(d.pii_type)).alias("pii_type"), "said.status", "said.snippet", "said.confidence", by(lambda d: F.lit(d.risk)).alias("risk"), "location", "said.corp_suspect"
-    )
+
+    def shown(d: Detector) -> Column:
+        said = lambda h: F.struct(h["s"].alias("start"), h["e"].alias("end"), _location(loc_kind, cells, h).alias("location"), d.decide(h["v"], config.reference_year).alias("said"))
+        kept = F.filter(F.transform(matches(text_col, d.pattern, d.needs), said), lambda x: x["said"]["keep"])
+        return F.transform(kept, lambda x: _finding(F.lit(ORDER[d.key]), x["start"], x["end"], F.lit(d.pii_type), x["said"]["status"], x["said"]["snippet"], x["said"]["confidence"], F.lit(d.risk), x["location"], x["said"]["corp_suspect"]))
+
+    none = F.lit(None).cast("string")
+    parts = [F.array(_finding(F.lit(-1), F.lit(None).cast("int"), F.lit(None).cast("int"), none, none, none, none, none, none, F.lit(False)))] if whole else []
+    parts += [shown(d) for d in detectors]
+    if found:
+        parts.append(_foreign(found, config, text_col, loc_kind, cells))
+    if not parts:
+        return detect(df.filter(F.lit(False)), text_col, only_email(), keep)
+    return df.select(*keep, F.explode(F.concat(*parts)).alias("h")).select(*keep, "h.*")
+
+
+def only_email() -> ScanConfig:
+    return ScanConfig(disabled=frozenset(DETECTORS) - {"email"}, enabled=frozenset({"email"}))
+
+
+def _finding(seq: Column, start: Column, end: Column, kind: Column, status: Column, snippet: Column, confidence: Column, risk: Column, location: Column, suspect: Column) -> Column:
+    names = ("det_seq", "start", "end", "pii_type", "status", "snippet", "confidence", "risk", "location", "corp_suspect")
+    return F.struct(*[c.alias(n) for c, n in zip((seq, start, end, kind, status, snippet, confidence, risk, location, suspect), names, strict=True)])
+
+
+def _foreign(found: str, config: ScanConfig, text_col: str, loc_kind: str | None, cells: str | None) -> Column:
+    """The findings of detectors in Python, with what is known of their detectors and where they are."""
+    keys = [d.key for d in config.python]
+    of = lambda x, values: F.element_at(F.array(*map(F.lit, values)), F.array_position(F.array(*map(F.lit, keys)), x["key"]).cast("int"))
+
+    def place(x: Column) -> Column:
+        ahead = F.substring(F.col(text_col), F.lit(1), x["start"])
+        lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+        pages = F.length(ahead) - F.length(F.replace(ahead, F.lit("\f"), F.lit("")))
+        return _location(loc_kind, cells, F.struct(x["start"].alias("s"), lines(ahead).alias("nl"), pages.alias("pg"), lines(F.substring_index(ahead, "\f", -1)).alias("ln")))
+
+    row = lambda x: _finding(of(x, range(len(ORDER), len(ORDER) + len(keys))), x["start"], x["end"], of(x, [d.pii_type for d in config.python]), x["status"], x["snippet"], x["confidence"], of(x, [d.risk for d in config.python]), place(x), F.lit(False))
+    return F.transform(F.coalesce(F.col(found), F.array().cast(FOUND)), row)

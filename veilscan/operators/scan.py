@@ -1,4 +1,5 @@
-"""From files to results: extract, detect, filter, and the tables that reports and the state are made of."""
+"""From files to results: extract, detect, filter, and the tables that reports and the state are made of. Each file is
+listed, read and recognised once: its row and its findings come from the same pass."""
 
 from __future__ import annotations
 
@@ -16,30 +17,43 @@ from .detect import ScanConfig, detect
 
 @dataclass
 class Scan:
-    """files: path, file_seq, error, encrypted, unreadable, corp_filtered. hits: path, file_seq, det_seq, then the columns of a
+    """files: path, file_seq, error, encrypted, unreadable, corp_filtered, partial_detection. hits: path, file_seq, det_seq, then the columns of a
     finding, without those that the corporate filter took away."""
 
     files: DataFrame
     hits: DataFrame
 
 
-def results(extracted: DataFrame, config: ScanConfig, access: DataFrame | None = None) -> DataFrame:
-    """One row per file: path, file_seq, error, encrypted, unreadable, corp_filtered, hits (array). extracted: TEXTS; access:
-    path, reason, file_seq of folders that could not be read. Hits meet by file, texts don't move."""
-    found = detect(extracted, config=config, keep=["path", "file_seq"], loc_kind="loc_kind", cells="cells")
-    found = mark_corp(found, "file_seq")
-    columns = [f.name for f in V.STATE["hits"].dataType.elementType]
-    by_file = found.groupBy("file_seq").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("corp_dropped"), F.struct("det_seq", "start", *[c for c in columns if c != "start"])))).alias("hits"),
-        F.count_if("corp_dropped").cast("int").alias("corp_filtered"),
-    )
-    plain = F.transform("hits", lambda h: F.struct(*[h[c].alias(c) for c in columns]))
-    rows = extracted.select("path", "file_seq", "error", "encrypted").join(by_file.select("file_seq", plain.alias("hits"), "corp_filtered"), "file_seq", "left")
-    empty = F.array().cast(V.STATE["hits"].dataType)
-    out = rows.select("path", "file_seq", "error", "encrypted", F.lit(False).alias("unreadable"), F.coalesce("corp_filtered", F.lit(0)).alias("corp_filtered"), F.coalesce("hits", empty).alias("hits"))
-    if access is not None:  # folders come after all files
-        out = out.unionByName(access.select("path", "file_seq", F.col("reason").alias("error"), F.lit(False).alias("encrypted"), F.lit(True).alias("unreadable"), F.lit(0).alias("corp_filtered"), empty.alias("hits")))
-    return out
+_FILE = ["path", "file_seq", "error", "encrypted", "unreadable", "failed"]
+_HIT = [f.name for f in V.STATE["hits"].dataType.elementType]
+
+
+def scan_rows(extracted: DataFrame, config: ScanConfig) -> DataFrame:
+    """extracted: TEXTS. One row per file or unreadable folder (det_seq is -1) and one per finding, from one pass over the
+    texts: path, file_seq, error, encrypted, unreadable, partial_detection, det_seq, the columns of a finding,
+    corp_dropped. Findings meet by file and spreadsheet column, texts don't move."""
+    found = detect(extracted, config=config, keep=_FILE, loc_kind="loc_kind", cells="cells", found="found" if config.python else None, whole=True)
+    failed = F.coalesce("failed", F.array().cast("array<string>"))
+    partial = F.when(F.size(failed) > 0, F.concat(F.lit(V.PARTIAL), F.array_join(failed, ", ")))
+    found = mark_corp(found, "path", "file_seq")
+    return found.select("path", "file_seq", F.coalesce("error", partial).alias("error"), "encrypted", F.coalesce("unreadable", F.lit(False)).alias("unreadable"), failed.alias("partial_detection"), "det_seq", *_HIT, "corp_dropped")
+
+
+def tables(rows: DataFrame) -> Scan:
+    """scan_rows(), written before, as two tables; findings stay rows."""
+    dropped = rows.filter("det_seq >= 0 and corp_dropped").groupBy("path", "file_seq").agg(F.count("*").cast("int").alias("n"))
+    files = rows.filter("det_seq < 0").select("path", "file_seq", "error", "encrypted", "unreadable", "partial_detection")
+    files = files.join(dropped, ["path", "file_seq"], "left").withColumn("corp_filtered", F.coalesce("n", F.lit(0))).drop("n")
+    return Scan(files, rows.filter("det_seq >= 0 and not corp_dropped").select("path", "file_seq", "det_seq", *_HIT))
+
+
+def results(rows: DataFrame) -> DataFrame:
+    """scan_rows() as one row per file: path, file_seq, error, encrypted, unreadable, partial_detection, corp_filtered, hits
+    (array), as the state keeps them. A file's findings meet in one row: reports of large scans take tables()."""
+    hit = F.when((F.col("det_seq") >= 0) & ~F.col("corp_dropped"), F.struct("det_seq", "start", *[c for c in _HIT if c != "start"]))
+    first = [F.first(c).alias(c) for c in ("error", "encrypted", "unreadable", "partial_detection")]
+    out = rows.groupBy("path", "file_seq").agg(*first, F.count_if("corp_dropped").cast("int").alias("corp_filtered"), F.array_sort(F.collect_list(hit)).alias("hits"))
+    return out.withColumn("hits", F.transform("hits", lambda h: F.struct(*[h[c].alias(c) for c in _HIT])))
 
 
 def split(rows: DataFrame) -> Scan:
@@ -55,16 +69,21 @@ def from_state(rows: DataFrame) -> Scan:
     return split(full.withColumn("file_seq", F.shiftrightunsigned(F.xxhash64("path"), 1)))
 
 
-def scan_folders(spark: SparkSession, roots: list[str], config: ScanConfig | None = None) -> DataFrame:
-    """results() of all files below the roots."""
+def folder_rows(spark: SparkSession, roots: list[str], config: ScanConfig | None = None) -> DataFrame:
+    """scan_rows() of all files below the roots. Files and folders that can't be read come from one listing."""
     config = config or ScanConfig()
     found = listing(spark, roots, config.extensions, config.exclude_dirs)
-    files = found.filter("reason is null").select("path", "file_seq")
-    return results(texts(files), config, found.filter("reason is not null"))
+    return scan_rows(texts(found, config.python), config)
+
+
+def scan_folders(spark: SparkSession, roots: list[str], config: ScanConfig | None = None) -> DataFrame:
+    """results() of all files below the roots."""
+    return results(folder_rows(spark, roots, config))
 
 
 def scan_binary(files: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """results() of files at hand: path, content (as spark.read.format('binaryFile') gives them), file_seq if there is one."""
     if "file_seq" not in files.columns:
         files = files.withColumn("file_seq", F.monotonically_increasing_id())
-    return results(texts(files), config or ScanConfig())
+    config = config or ScanConfig()
+    return results(scan_rows(texts(files, config.python), config))

@@ -200,7 +200,7 @@ FROM (SELECT o_orderkey AS key, o_orderkey % 10 - 1 AS pos, 1 + o_custkey * 37 %
 )
 def cell_location(spark, sf_dir):
     # nine cells of five characters each from place 5 on
-    d = table(spark, sf_dir, "orders").selectExpr("o_orderkey as key", "cast(o_orderkey % 10 * 5 as int) as at", "transform(sequence(1, 9), i -> struct(i * 5 as start, 'S' as sheet, i as row, cast(1 + o_custkey * 37 % 16384 as int) as col)) as cells")
+    d = table(spark, sf_dir, "orders").selectExpr("o_orderkey as key", "cast(o_orderkey % 10 * 5 as int) as at", "struct(transform(sequence(1, 9), i -> i * 5) as start, sequence(1, 9) as row, array_repeat(cast(1 + o_custkey * 37 % 16384 as int), 9) as col, array(0) as first, array('S') as sheet) as cells")
     return d.select("key", spans.cell_label(F.col("cells"), F.col("at")).alias("location"))
 
 

@@ -207,7 +207,8 @@ def page_stream(spark: SparkSession, client: str, options: dict, extensions=tupl
 
 
 def with_content(files: DataFrame, client: str, options: dict) -> DataFrame:
-    """path, name, file_seq with the files' bytes, downloaded by the workers one at a time."""
+    """path, name, file_seq with the files' bytes, downloaded by the workers one at a time; failure: the type of what a
+    download raised, as messages can quote the file."""
 
     def run(batches):
         import pyarrow as pa
@@ -216,10 +217,12 @@ def with_content(files: DataFrame, client: str, options: dict) -> DataFrame:
         for b in batches:
             c = c or CLIENTS[client](options)
             for row in b.to_pylist():
+                data = failure = None
                 try:
                     data = c.download(row["name"])
-                except Exception:  # extraction of nothing says that the file failed
-                    data = None
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["file_seq"]], pa.int64()), pa.array([data], pa.binary())], ["path", "file_seq", "content"])
+                except Exception as e:
+                    failure = type(e).__name__
+                columns = [pa.array([row["path"]]), pa.array([row["file_seq"]], pa.int64()), pa.array([data], pa.binary()), pa.array([failure], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "file_seq", "content", "failure"])
 
-    return files.select("path", "name", "file_seq").mapInArrow(run, "path string, file_seq bigint, content binary")
+    return files.select("path", "name", "file_seq").mapInArrow(run, "path string, file_seq bigint, content binary, failure string")

@@ -9,9 +9,13 @@ import os
 import re
 import threading
 import zipfile
-from collections.abc import Callable, Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from ..functions import values as V
@@ -23,6 +27,14 @@ TIMEOUT = 90
 TEXT_LAYER, OCR_PAGES, OCR_PIXELS = 300, 300, 16_000_000
 
 
+class Undelivered(Exception):
+    """The file could not be fetched; kind: the type of what was raised there."""
+
+    def __init__(self, kind: str):
+        super().__init__(kind)
+        self.kind = kind
+
+
 class Encrypted(Exception):
     """The file has a password."""
 
@@ -31,7 +43,42 @@ class Unsupported(Exception):
     """Not a file of this kind: it isn't recorded."""
 
 
-Extracted = tuple[str, str, list[tuple[int, str, int, int]]]
+class Cells(Sequence):
+    """The places of cells as packed numbers, 16 bytes each: (start, sheet, row, column)."""
+
+    def __init__(self):
+        self.start, self.row, self.col = array("q"), array("i"), array("i")
+        self.first, self.sheet = array("i"), []
+
+    def open(self, sheet: str) -> None:
+        """What is added from now on is of this sheet."""
+        self.first.append(len(self.start))
+        self.sheet.append(sheet)
+
+    def add(self, start: int, row: int, col: int) -> None:
+        self.start.append(start)
+        self.row.append(row)
+        self.col.append(col)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, i: int) -> tuple[int, str, int, int]:
+        return self.start[i], self.sheet[bisect_right(self.first, range(len(self))[i]) - 1], self.row[i], self.col[i]
+
+    def __eq__(self, other) -> bool:
+        return list(self) == list(other)
+
+    def arrow(self):
+        """One value of CELLS."""
+        import pyarrow as pa
+
+        packed = [pa.array(np.frombuffer(a, f"i{a.itemsize}").astype(np.int32) if len(a) else [], pa.int32()) for a in (self.start, self.row, self.col, self.first)]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in (*packed, pa.array(self.sheet, pa.string()))]
+        return pa.StructArray.from_arrays(lists, ["start", "row", "col", "first", "sheet"])
+
+
+Extracted = tuple[str, str, Sequence]
 
 
 def plain(data: bytes) -> Extracted:
@@ -43,25 +90,58 @@ def plain(data: bytes) -> Extracted:
     return data.decode("utf-8", "replace"), "line", []
 
 
+# The entities, in the order in which they are replaced.
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'"))
-_RUN = re.compile(r"<(?:\w+:)?t(?:\s[^>]*)?>(.*?)</(?:\w+:)?t>|</(?:\w+:)?p>|<(?:\w+:)?p(?:\s[^>]*)?/>", re.S)
+
+
+class _Section(HTMLParser):
+    """A section's text, whatever its name space and however broken: runs as they follow, a line for each paragraph."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.out: list[str] = []
+        self.run: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag.rpartition(":")[2] == "t" and self.run is None:
+            self.run = []
+
+    def handle_endtag(self, tag):
+        name = tag.rpartition(":")[2]
+        if name == "t" and self.run is not None:
+            text, self.run = "".join(self.run), None
+            for entity, char in _ENTITIES:
+                text = text.replace(entity, char)
+            self.out.append(text)
+        elif name == "p" and self.run is None:
+            self.out.append("\n")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag.rpartition(":")[2] == "p" and self.run is None:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if self.run is not None:
+            self.run.append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
 
 
 def hwpx(data: bytes) -> Extracted:
-    """Runs of text, a line for each paragraph, sections in the order of their names."""
-    out = []
+    """Runs of text, a line for each paragraph, sections in the order of their names; bytes that are no UTF-8 are replaced."""
+    out: list[str] = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for name in sorted(n for n in z.namelist() if re.fullmatch(r"Contents/section\d*\.xml", n)):
-            xml, text = z.read(name).decode("utf-8"), ""
-            for m in _RUN.finditer(xml):
-                if m.group(1) is None:
-                    text += "\n"
-                    continue
-                run = re.sub(r"<[^>]+>", "", m.group(1))
-                for entity, char in _ENTITIES:
-                    run = run.replace(entity, char)
-                text += run
-            out.append(text if text.endswith("\n") else text + "\n")
+        for name in sorted(n for n in z.namelist() if n.startswith("Contents/section") and n.endswith(".xml")):
+            section = _Section()
+            section.feed(z.read(name).decode("utf-8", "replace"))
+            section.close()
+            out += section.out
+            if out and not out[-1].endswith("\n"):
+                out.append("\n")
     return "".join(out), "line", []
 
 
@@ -155,7 +235,7 @@ def _value(cell, strings: list[str], dates: set[int], epoch: datetime.datetime)
 def xlsx(data: bytes) -> Extracted:
     """Cells that have a value, sheet by sheet and row by row, a line and a place for each."""
     _sealed(data)
-    parts, cells, at = [], [], 0
+    parts, cells, at = [], Cells(), 0
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
         rels = {e.get("Id"): (e.get("Type", ""), e.get("Target", "")) for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
@@ -169,6 +249,7 @@ def xlsx(data: bytes) -> Extracted:
             if not kind.endswith("/worksheet"):
                 continue
             row = col = 0
+            cells.open(sheet.get("name"))
             with z.open(where(target)) as f:
                 for event, e in ElementTree.iterparse(f, ("start", "end")):
                     tag = _local(e.tag)
@@ -181,7 +262,7 @@ def xlsx(data: bytes) -> Extracted:
                         col = _number(m.group(1)) if m else col + 1
                         value = _value(e, strings, dates, epoch)
                         if value is not None:
-                            cells.append((at, sheet.get("name"), row, col))
+                            cells.add(at, row, col)
                             parts.append(value)
                             at += len(value) + 1
     return "\n".join(parts), "cell", cells
@@ -221,13 +302,14 @@ def xls(data: bytes) -> Extracted:
         if "encrypt" in str(e).lower():
             raise Encrypted from None
         raise
-    parts, cells, at = [], [], 0
+    parts, cells, at = [], Cells(), 0
     for sheet in book.sheets():
+        cells.open(sheet.name)
         for r in range(sheet.nrows):
             for c in range(sheet.ncols):
                 value = sheet.cell_value(r, c)
                 if value != "":
-                    cells.append((at, sheet.name, r + 1, c + 1))
+                    cells.add(at, r + 1, c + 1)
                     parts.append(str(value))
                     at += len(parts[-1]) + 1
     return "\n".join(parts), "cell", cells
@@ -235,6 +317,9 @@ def xls(data: bytes) -> Extracted:
 
 def _recognised(picture) -> str:
     import pytesseract
+    from PIL import Image
+
+    Image.MAX_IMAGE_PIXELS = None  # large pages are made smaller here, not refused
 
     if picture.width * picture.height > OCR_PIXELS:
         by = (OCR_PIXELS / (picture.width * picture.height)) ** 0.5
@@ -267,6 +352,9 @@ def pdf(data: bytes) -> Extracted:
     if len(text.strip()) >= TEXT_LAYER:
         return text, "page", []
     from pdf2image import convert_from_bytes, pdfinfo_from_bytes
+    from PIL import Image
+
+    Image.MAX_IMAGE_PIXELS = None
 
     pages, out = pdfinfo_from_bytes(data, timeout=TIMEOUT)["Pages"], []
     for i in range(1, min(pages, OCR_PAGES) + 1):
@@ -300,9 +388,9 @@ def suffix(path: str) -> str:
     return os.path.splitext(path)[1].lower()
 
 
-def extracted(path: str, read: Callable[[], bytes]) -> dict | None:
-    """A row of TEXTS without file_seq; None for what isn't recorded."""
-    row = {"path": path, "text": None, "loc_kind": "line", "cells": [], "error": None, "encrypted": False}
+def extracted(path: str, read: Callable[[], bytes], python: Sequence = ()) -> dict | None:
+    """A row of TEXTS without file_seq; None for what isn't recorded. python: detectors to run on the text, each by itself."""
+    row = {"path": path, "text": None, "loc_kind": "line", "cells": Cells(), "error": None, "encrypted": False, "unreadable": False, "found": [], "failed": []}
     crumb = None
     if folder := os.environ.get("VEILSCAN_BREADCRUMB_DIR"):
         crumb = os.path.join(folder, f"{os.getpid()}-{threading.get_ident()}")
@@ -316,12 +404,13 @@ def extracted(path: str, read: Callable[[], bytes]) -> dict | None:
             return None
         text, row["loc_kind"], row["cells"] = call(read())
         row["text"] = text.encode("utf-8", "replace").decode("utf-8")
+        _found(row, python)
     except Unsupported:
         return None
     except Encrypted:
         row["encrypted"] = True
     except Exception as e:
-        row["error"] = f"추출 실패: {type(e).__name__}"
+        row["error"] = f"{V.EXTRACTION}{e.kind if isinstance(e, Undelivered) else type(e).__name__}"
     finally:
         if crumb:
             try:
@@ -331,25 +420,50 @@ def extracted(path: str, read: Callable[[], bytes]) -> dict | None:
     return row
 
 
-def texts(files: DataFrame) -> DataFrame:
-    """files: path, file_seq, and content where it is at hand (else workers open the path). Rows of TEXTS; files of an
-    unknown kind are left out. One file at a time is held."""
-    held = "content" in files.columns
+def _found(row: dict, python: Sequence) -> None:
+    for d in python:
+        try:
+            row["found"] += [dict(zip(("key", "start", "end", "status", "snippet", "confidence"), (d.key, *f), strict=True)) for f in d.find(row["text"])]
+        except Exception as e:
+            row["failed"].append(f"{d.key}({type(e).__name__})")
+
+
+def texts(files: DataFrame, python: Sequence = ()) -> DataFrame:
+    """files: path, file_seq; content where it is at hand (else workers open the path), failure (why there is none),
+    reason (of a folder that can't be read: its row is passed on). Rows of TEXTS; files of an unknown kind are left
+    out. One file at a time is held. python: detectors in Python."""
+    columns = ["path", "file_seq", *(c for c in ("content", "failure", "reason") if c in files.columns)]
 
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(V.TEXTS)
+        rest = pa.schema([f for f in schema if f.name != "cells"])
         for b in batches:
             for i in range(b.num_rows):
-                path, seq = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                row = extracted(path, (lambda i=i: b.column(2)[i].as_py()) if held else (lambda path=path: _read(path)))
+                of = lambda c, b=b, i=i: b.column(columns.index(c))[i].as_py() if c in columns else None
+                row = _one(of, "content" in columns, python)
                 if row:
-                    row["cells"] = [dict(zip(("start", "sheet", "row", "col"), c, strict=True)) for c in row["cells"]]
-                    yield pa.RecordBatch.from_pylist([row | {"file_seq": seq}], schema)
+                    cells = row.pop("cells")
+                    out = pa.RecordBatch.from_pylist([row | {"file_seq": of("file_seq")}], rest)
+                    cells = (cells if isinstance(cells, Cells) else Cells()).arrow().cast(schema.field("cells").type)
+                    yield pa.RecordBatch.from_arrays([cells if f.name == "cells" else out.column(f.name) for f in schema], schema=schema)
+
+    return files.select(*columns).mapInArrow(run, V.TEXTS)
+
+
+def _one(of: Callable, held: bool, python: Sequence) -> dict | None:
+    path = of("path")
+    if reason := of("reason"):
+        return {"path": path, "text": None, "loc_kind": "line", "cells": Cells(), "error": reason, "encrypted": False, "unreadable": True, "found": [], "failed": []}
+
+    def read() -> bytes:
+        if kind := of("failure"):
+            raise Undelivered(kind)
+        return of("content") if held else _read(path)
 
-    return files.select("path", "file_seq", *["content"] * held).mapInArrow(run, V.TEXTS)
+    return extracted(path, read, python)
 
 
 def _read(path: str) -> bytes:

@@ -31,13 +31,22 @@ class State:
         self.checkpoint = f"{self.root}/checkpoint"
 
     def write(self, rows: DataFrame, batch: str) -> None:
-        """A batch that is written again replaces itself."""
+        """A batch that is written again replaces itself. Its paths follow its results, in a narrow table."""
         rows.select(*V.STATE.names).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{self.root}/results/batch={batch}")
+        done = self.spark.read.schema("path string").option("mode", "DROPMALFORMED").json(f"{self.root}/results/batch={batch}")
+        done.filter("path is not null").write.mode("overwrite").parquet(f"{self.root}/done/batch={batch}")
 
-    def exists(self) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/results")
+    def exists(self, what: str = "results") -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{what}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+    def paths(self, but: str = "") -> DataFrame:
+        """path, of all results but a batch's."""
+        if not self.exists("done"):
+            return self.results().select("path")
+        done = self.spark.read.schema("path string, batch string").parquet(f"{self.root}/done")
+        return done.filter(F.col("batch") != but).select("path")
+
     def results(self) -> DataFrame:
         """Rows of STATE, one for each path; lines that are cut off, lack what they need or have unknown labels don't count."""
         if not self.exists():
@@ -47,6 +56,6 @@ class State:
         rows = rows.filter("path is not null").filter(F.forall(F.coalesce("hits", F.array().cast(V.STATE["hits"].dataType)), whole))
         return rows.dropDuplicates(["path"])
 
-    def undone(self, files: DataFrame) -> DataFrame:
-        """files whose path has no result yet, whatever the result was."""
-        return files.join(self.results().select("path"), "path", "left_anti")
+    def undone(self, files: DataFrame, batch: str = "") -> DataFrame:
+        """files whose path has no result yet, whatever the result was; a batch that runs again does its own anew."""
+        return files.join(self.paths(batch), "path", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detect import ScanConfig
-from ..operators.scan import results
+from ..operators.scan import results, scan_rows
 from ..sources.cloud import page_stream, with_content
 from ..sources.extract import texts
 from ..sources.state import State
@@ -18,14 +18,9 @@ def collect(spark: SparkSession, state: State, client: str, options: dict, confi
     config = config or ScanConfig()
 
     def batch(rows: DataFrame, number: int) -> None:
-        todo = state.undone(rows.dropDuplicates(["path"]).withColumn("file_seq", F.monotonically_increasing_id()))
-        todo = todo.repartition(workers)
-        # texts are kept for the batch: detection and the files' rows both read them, and a download is dear
-        held = texts(with_content(todo, client, options)).persist()
-        try:
-            state.write(results(held, config), f"{number}")
-        finally:
-            held.unpersist()
+        todo = state.undone(rows.dropDuplicates(["path"]).withColumn("file_seq", F.monotonically_increasing_id()), f"{number}")
+        held = texts(with_content(todo.repartition(workers), client, options), config.python)
+        state.write(results(scan_rows(held, config)), f"{number}")
 
     query = page_stream(spark, client, options, config.extensions).writeStream.foreachBatch(batch).option("checkpointLocation", state.checkpoint).trigger(processingTime="0 seconds").start()
     try:
