@@ -137,3 +137,26 @@ def test_generated_code_compiles(spark):
 def test_without_detectors(spark, n):
     df = spark.createDataFrame([(i, "a@b.com") for i in range(n)], "doc_id int, text string")
     assert detect(df, config=ScanConfig(disabled=frozenset(DETECTORS)), keep=["doc_id"]).count() == 0
+
+
+def test_demo_files(spark, tmp_path):
+    from veilscan.sources.demo import build_demo
+
+    assert [os.path.basename(p) for p in build_demo(str(tmp_path))] == ["members.txt", "contract.txt"]
+    kinds = {h.pii_type for r in results(folder_rows(spark, [str(tmp_path)], ScanConfig(reference_year=2026))).collect() for h in r.hits}
+    assert kinds == {V.RRN, V.PHONE, V.EMAIL, V.LANDLINE, V.PASSPORT, V.DRIVER}
+
+
+def test_caps_are_told(spark, tmp_path):
+    from veilscan.operators import report as R
+    from veilscan.sinks.reports import write_html, write_xlsx
+
+    files = [(f"f{i}.docx", extract.OLE) for i in range(5)] + [(f"g{i}.docx", b"PK") for i in range(4)]
+    scan = tables(scan_rows(extract.texts(spark.createDataFrame([(p, i, c) for i, (p, c) in enumerate(files)], "path string, file_seq bigint, content binary")), ScanConfig()))
+    s = R.summarise(scan.files, scan.hits)
+    write_xlsx(scan, s, str(tmp_path / "r.xlsx"), cap=3)
+    write_html(scan, s, str(tmp_path / "r.html"), cap=3)
+    told = extract.xlsx((tmp_path / "r.xlsx").read_bytes())[0].split("\n")
+    assert told[told.index("errors 생략 건수 (files 폴더의 Parquet 에 모두 있음)") + 1] == "1"
+    assert told[told.index("encrypted 생략 건수 (files 폴더의 Parquet 에 모두 있음)") + 1] == "2"
+    assert "암호 파일 2건은" in (tmp_path / "r.html").read_text(encoding="utf-8")

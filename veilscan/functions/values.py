@@ -64,3 +64,22 @@ STATE = T.StructType(
         T.StructField("hits", T.ArrayType(T.StructType(_HIT))),
     ]
 )
+
+# Names of sheets and heads of columns, labels of totals, marks of error classes.
+SHEETS = ("findings", "errors", "encrypted", "summary")
+FINDING_HEAD = ["파일경로", "파일명", "PII종류", "위험등급", "상태", "마스킹스니펫", "위치", "검증"]
+ERROR_HEAD = ["파일경로", "사유", "구분"]
+ENCRYPTED_HEAD = ["파일경로"]
+TYPE_HEAD = ["PII종류", "노출", "마스킹"]
+UNREADABLE_CLASS, FAILED_CLASS = "접근 실패", "파일 처리 실패"
+TOTALS = {
+    "scanned_at": "스캔 일시",
+    "tool_version": "도구 버전",
+    "total_files": "스캔 파일 수",
+    "error_files": "추출 실패 수",
+    "encrypted_files": "암호화 건너뜀 수",
+    "exposed": "노출(EXPOSED)",
+    "masked": "마스킹(MASKED)",
+    "masking_rate": "마스킹률(%)",
+    "corp_filtered": "법인등록번호 오탐 제거",
+}

@@ -81,7 +81,7 @@ def error_classes(files: DataFrame) -> DataFrame:
     """path, reason, class of files that have an error or could not be reached; encrypted ones have a list of their own."""
     unreadable = F.coalesce("unreadable", F.lit(False))
     rows = files.filter(unreadable | (~F.coalesce("encrypted", F.lit(False)) & F.col("error").isNotNull()))
-    return rows.select("path", F.coalesce("error", F.lit("")).alias("reason"), F.when(unreadable, "접근 실패").otherwise("파일 처리 실패").alias("class"))
+    return rows.select("path", F.coalesce("error", F.lit("")).alias("reason"), F.when(unreadable, V.UNREADABLE_CLASS).otherwise(V.FAILED_CLASS).alias("class"))
 
 
 @dataclass

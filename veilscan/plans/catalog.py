@@ -304,7 +304,19 @@ def state_json(spark, sf_dir):
     return row.select("r.path", F.coalesce("r.corp_filtered", F.lit(0)).cast("bigint").alias("corp_filtered"), F.coalesce("r.encrypted", F.lit(False)).alias("encrypted"), "r.error")
 
 
-@query("findings_by_source")
+#: Numbers with what must not be a digit around them; the other kinds don't come in the documents and have queries of their own.
+_LINE = r"(?:^|[^0-9])(0[0-9]{1,2})[-\s]?[0-9]{3,4}[-\s]?[0-9]{4}(?:[^0-9]|$)"
+_MOBILE = r"(?:^|[^0-9])(01[016789][-\s]?[0-9*]{3,4}[-\s]?[0-9]{4})(?:[^0-9]|$)"
+
+
+@query(
+    "findings_by_source",
+    f"""SELECT source, pii_type, status, count(*) AS n FROM (
+SELECT source, '{V.EMAIL}' AS pii_type, '{V.EXPOSED}' AS status, unnest(regexp_extract_all(text, '{_EMAIL}')) AS v FROM documents
+UNION ALL SELECT source, '{V.LANDLINE}', '{V.EXPOSED}', v FROM (SELECT source, unnest(regexp_extract_all(text, '{_LINE}', 1)) AS v FROM documents) WHERE NOT regexp_full_match(v, '01[0-9]')
+UNION ALL SELECT source, '{V.PHONE}', CASE WHEN v LIKE '%***%' THEN '{V.MASKED}' ELSE '{V.EXPOSED}' END, v FROM (SELECT source, unnest(regexp_extract_all(text, '{_MOBILE}', 1)) AS v FROM documents)
+) AS f GROUP BY source, pii_type, status""",
+)
 def findings_by_source(spark, sf_dir):
     """All kinds over the documents, by source: what a report on a corpus starts from."""
     found = detect(table(spark, sf_dir, "documents"), config=ScanConfig(enabled=frozenset({"foreign"}), reference_year=YEAR), keep=["source"])
