@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from veilscan.llm import bpe, embeddings, exact_dedup, langid, mixing, pii, quality, registry, secrets, simhash, toxicity
+from tests.llm.test_whole_jobs import _components
 from veilscan.llm.components import components
 
 Q = registry.QUERIES
@@ -374,9 +375,9 @@ def test_pipeline(spark, sf, empty, frames, run):
     assert ids[1] == [i for i in ids[0] if pred.lang_pred[i] != "und" and pred.score[i] >= 0.5]
     largest = {text[i]: i for i in ids[1]}
     assert ids[2] == sorted(largest.values())
-    fp = {i: _fingerprint(text[i]) for i in ids[2]}
-    comp = _unions(ids[2], [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
-    assert ids[3] == sorted(set(comp))
+    # one of each group of texts whose five-word shingles have a similarity of 0.8 or more stays
+    comp = _components({i: text[i] for i in ids[2]}, 0.8)
+    assert ids[3] == sorted(set(comp.values())) and len(ids[3]) < len(ids[2])
     q = {r.doc_id: r.copies for r in mixing.queue(kept[3]).collect()}
     assert ids[4] == sorted(i for i, n in q.items() for _ in range(n))
     enc = _tiktoken()

@@ -1,13 +1,14 @@
 """What the operators must do on whole inputs: edited copies, long documents, rare cases."""
 
 import random
+import re
 
 import corpus_pipeline
 from veilscan.llm import jaccard, pii, quality
 
 
 def _shingles(t):
-    w = t.lower().split()
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 

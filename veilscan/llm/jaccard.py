@@ -170,13 +170,12 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, leas
     fps = rows.groupBy("sk").agg(F.first("fp").alias("fp"))
     near = pairs.join(fps.select(F.col("sk").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("sk").alias("b"), F.col("fp").alias("fb")), "b")
     pairs = scratch.table(near.filter(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR).select("a", "b").distinct())
-    keys = scratch.table(pairs.select(F.col("a").alias("sk")).union(pairs.select(F.col("b").alias("sk"))).distinct())
-    ids = checked(scratch.table(rows.join(checked(keys), "sk", "left_semi").groupBy("sk").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()))
-    whole = _hashes(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), size).join(checked(keys), "sk", "left_semi").select("sk", "hs")
-    whole = scratch.table(whole)
-    whole = scratch.table(whole.groupBy("sk").agg(F.first("hs").alias("hs")))
-    a, b = whole.select(F.col("sk").alias("a"), F.col("hs").alias("ha")), whole.select(F.col("sk").alias("b"), F.col("hs").alias("hb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("ha", "hb")))
+    ends = scratch.table(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("sk")))
+    ids = checked(scratch.table(rows.join(checked(scratch.table(ends.select("sk").distinct())), "sk", "left_semi").groupBy("sk").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()))
+    whole = _hashes(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), size).select("sk", "hs")
+    # a set moves once for each of its pairs
+    of = lambda end: F.first(F.when(F.col("sk") == F.col(end), F.col("hs")), ignorenulls=True)
+    both = whole.join(checked(ends), "sk").groupBy("a", "b").agg(of("a").alias("ha"), of("b").alias("hb")).withColumn("same", F.size(F.array_intersect("ha", "hb")))
     return scratch.table(both.filter(f"same >= {least!r} * (size(ha) + size(hb) - same) - 1e-9").select("a", "b"))
 
 
