@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folders import delete, shared_dir
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset, local sessions get a temporary one;
-    a cluster has to name it, as a temporary folder there would be another one on each machine."""
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if held:
-        return held
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilscan-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
 class Scratch:
     """Tables written under the shared folder, so that lost executors cost no lineage.
 
@@ -50,12 +39,6 @@ class Scratch:
             delete(self.spark, t._scratch_path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 #: Bytes of rows, as they are held in memory, up to which a table is broadcast.
 BROADCAST = 48_000_000
 _BYTES = {"boolean": 1, "tinyint": 1, "int": 4, "bigint": 8, "double": 8}
