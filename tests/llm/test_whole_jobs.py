@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from veilscan.llm import jaccard, pii, quality
 
@@ -55,6 +57,49 @@ def test_near_copies_with_edits(spark):
     assert {i for i in left if i is not None} == set(want.values()) and left.count(None) == 1
 
 
+def _family(members, draw):
+    """Texts by id: some edits of one text, half of them few and half of them many."""
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = draw.choices(vocabulary, k=200)
+    texts = {}
+    for i in range(members):
+        words = list(base)
+        for at in draw.sample(range(200), (2, 5)[i % 2] + (i % 20 == 0)):
+            words[at] = draw.choice(vocabulary)
+        texts[i] = " ".join(words)
+    return texts
+
+
+def test_large_family_of_near_copies_is_compared_in_few_pairs(spark, monkeypatch):
+    texts, compared, whole = _family(300, random.Random(5)), [], jaccard.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.distinct().count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.clustered(docs).collect()} == _components(texts, 0.8)
+    assert sum(compared) < 4 * len(texts)
+
+
+def test_near_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8, raising=False)
+    texts = _family(60, random.Random(6))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.clustered(docs).collect()} == _components(texts, 0.8)
+
+
+def test_parities_never_tell_of_more_than_differs():
+    draw = np.random.default_rng(7)
+    for n, m in ((0, 3), (1, 1), (40, 400), (300, 300), (300, 1100), (20_000, 70_000)):
+        shared = draw.integers(0, 2**63, min(n, m) // 2, np.uint64)
+        a, b = (np.unique(np.concatenate([shared, draw.integers(0, 2**63, k - len(shared), np.uint64)])) for k in (n, m))
+        odd = [jaccard.parities(a), jaccard.parities(b), jaccard.parities(a)]
+        told = jaccard.differing(odd, np.array([0, 0, 1]), np.array([1, 2, 1]))
+        assert 0 < told[0] <= len(np.setxor1d(a, b)) and told[1] == told[2] == 0
+
+
 def test_pii_terms_far_from_the_mention(spark):
     filler = " ".join(f"word{i}" for i in range(200))
     rows = [(i, f"Zorblat 王明 77341 Zorblat {filler} write to zq@corp.example") for i in range(4)]

@@ -152,9 +152,12 @@ def mixed(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     scratch = Scratch(spark, "mix")
     whole = scratch.table(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")))
     rows = scratch.table(_rows(whole, "row.doc_id", "row.text", "row.source", "rid"))
-    d = _copies(scratch.table(_queued(rows, repeats, scratch)), repeats, scratch)
+    queued = scratch.table(_queued(rows, repeats, scratch))
+    scratch.drop(rows)
+    d = _copies(queued, repeats, scratch)
     copies = d.select("rid", "rank", "source_size", "queued", "size", "target", F.explode("rounds").alias("round"))
     copies = checked(scratch.table(copies.select("rid", "rank", _time(F.col("round")).alias("time"))))
+    scratch.drop(queued)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return whole.join(copies, "rid").repartitionByRange(n, "time", "rank").sortWithinPartitions("time", "rank").select("row.*")
 
