@@ -1,7 +1,10 @@
 """What the operators must do on whole inputs: edited copies, long documents, rare cases."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 
@@ -116,3 +119,33 @@ def test_capital_counts_all_words():
     for n in (0, 1, 511, 512, 1024, 4097):
         words = [("Title", "plain", "plain", "plain")[i % 4] for i in range(n)]
         assert quality.features(" ".join(words))[at] == (n + 3) // 4 / max(1, n)
+
+
+WORKER = """
+import random, re
+from types import SimpleNamespace as Held
+import numpy as np, pyarrow as pa
+from veilscan.llm import langid
+
+def memory():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+caught, draw = [], random.Random(1)
+path = langid.default_vocabulary()
+size = langid.pieces(path).size
+model = langid.Model(path, ["a", "b", "c", "d"], np.full((size, 4), 1 / size))
+spark = Held(sparkContext=Held(broadcast=lambda m: Held(value=m)))
+langid.accepted(Held(sparkSession=spark, schema=None, columns=["text"], mapInArrow=lambda run, schema: caught.append(run)), model)
+words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(3, 12))) for _ in range(120_000)]
+batches = [pa.record_batch({"text": [" ".join(draw.choices(words, k=500)) for _ in range(512)]}) for _ in range(4)]
+before = memory()
+for _ in caught[0](batches):
+    pass
+print(memory() - before)
+"""
+
+
+def test_language_worker_lets_go_of_memory():
+    done = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 25  # MB; 40 where freed memory is kept

@@ -20,7 +20,7 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, read_table, slices
+from .common import blocks, lean, read_table, slices
 
 #: Matches of the pattern cached in a worker; the cache starts anew when full.
 CACHE = 500_000
@@ -259,7 +259,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(lean(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

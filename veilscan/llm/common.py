@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,29 @@ def slices(batches, most: int = 512):
             yield b.slice(at, most)
 
 
+def let_go() -> None:
+    """Memory that this process has freed goes back to the system; Arrow's pool and malloc would keep it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc alone has it
+        trim(0)
+
+
+def lean(run):
+    """A worker's function of batches, with freed memory let go after each batch that it makes and at its end: a worker
+    outlives its task, and what it keeps adds to the executor's memory in all steps that follow."""
+
+    def lean_run(batches):
+        for b in run(batches):
+            yield b
+            del b
+            let_go()
+        let_go()
+
+    return lean_run
+
+
 def blocks(texts: list, ids: list, max_chars: int = 1_500_000):
     """Runs of whole texts of about max_chars characters, so that a batch's tokens never fill the memory."""
     held, hid, n = [], [], 0

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, checked, slices, unit_hash
+from .common import Scratch, blocks, checked, lean, slices, unit_hash
 from .components import BLOCK, components, pair_rows, run_bounds, runs
 from .simhash import _LOWER, _WORDS, links, majority
 
@@ -83,7 +83,7 @@ def _hashes(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.list_(pa.int64())), pa.array([_set_key(h) for h in hs], pa.int64())], ["doc_id", "hs", "sk"])
         _words.clear()  # a worker that waits for its next task holds none
 
-    return docs.mapInArrow(run, "doc_id bigint, hs array<bigint>, sk bigint")
+    return docs.mapInArrow(lean(run), "doc_id bigint, hs array<bigint>, sk bigint")
 
 
 def _set_key(h: np.ndarray) -> int:
@@ -162,7 +162,7 @@ def sets(docs: DataFrame, size: int, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sk, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(odd, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "sk", "fp", "n", "odd", "first"])
         _words.clear()
 
-    return docs.mapInArrow(run, "doc_id bigint, sk bigint, fp bigint, n int, odd binary, first array<bigint>")
+    return docs.mapInArrow(lean(run), "doc_id bigint, sk bigint, fp bigint, n int, odd binary, first array<bigint>")
 
 
 def _shared(batches):
@@ -227,7 +227,7 @@ def possible(pairs: DataFrame, rows: DataFrame, least: float, scratch: Scratch)
     told = _told(rows, pairs.select(F.explode(F.array("a", "b")).alias("sk")), scratch).hint("merge")
     a = told.select(F.col("sk").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
     b = told.select(F.col("sk").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _pairs_in_blocks(batches, least: float):
@@ -343,7 +343,7 @@ def clustered(docs: DataFrame, least: float = 0.8, size: int = 5, id_col: str =
 
     def in_blocks(rows, run, schema):
         rows = rows.join(checked(comp), rows["sk"] == comp["node"], "left").select(*rows.columns, F.coalesce("component_id", "sk").alias("c"))
-        return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, schema)
+        return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(lean(run), schema)
 
     def with_partners(near):
         near = in_blocks(near, _with_partners(least), "block bigint, side int, sk bigint, n int, pos int")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_of_id, read_table, slices, unit_hash
+from .common import blocks, crc_of_id, lean, read_table, slices, unit_hash
 
 MARK = "▁"
 #: Of a character that no piece covers, and of a piece before smoothing.
@@ -221,6 +221,11 @@ class Model:
         self.pieces, self.rows = pieces(self.path), {}
         self.logs, self.n, self.bytes = np.zeros((1 << 12, len(self.langs))), 0, 0
 
+    def rest(self) -> None:
+        """At a task's end: many words go, as the worker may wait for long; few stay for the next task."""
+        if self.bytes > CACHE // 4:
+            self.start()
+
     def learn(self, words: list[str]) -> None:
         """Scores distinct words that are not yet kept."""
         logs, end = log_sums(self.pieces, [marked(w) for w in words], self.probs), self.n + len(words)
@@ -367,8 +372,9 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                 lang, score = m.predict(texts)
                 keep += [name != "und" and s >= least for name, s in zip(lang, score, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
+        m.rest()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def teaches() -> Column:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, checked, read_table, slices
+from .common import Scratch, blocks, checked, lean, read_table, slices
 from .components import BLOCK, components, run_bounds, runs, spanning
 
 PARTS, WIDTH = 4, 16
@@ -234,9 +234,9 @@ def links(fps: DataFrame, radius: int = 3, scratch: Scratch | None = None) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[root])], ["a", "b"])
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = fps.select("fp", "rep").mapInArrow(deal, "part int, value int, i int, j int, role tinyint, fp bigint, rep bigint")
+    dealt = fps.select("fp", "rep").mapInArrow(lean(deal), "part int, value int, i int, j int, role tinyint, fp bigint, rep bigint")
     keys = ["part", "value", "i", "j"]
-    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "role").mapInArrow(verify, "a bigint, b bigint").distinct()
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "role").mapInArrow(lean(verify), "a bigint, b bigint").distinct()
 
 
 def _spread(part: int, value: np.ndarray, rows: np.ndarray, own: np.ndarray, split: np.ndarray, role: int) -> list[tuple]:
