@@ -5,11 +5,15 @@ import random
 import re
 import subprocess
 import sys
+import weakref
+from types import SimpleNamespace as Held
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 
 import corpus_pipeline
-from veilscan.llm import jaccard, pii, quality
+from veilscan.llm import bpe, jaccard, langid, pii, quality
 
 
 def _shingles(t):
@@ -149,3 +153,21 @@ def test_language_worker_lets_go_of_memory():
     done = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
     assert done.returncode == 0, done.stderr
     assert float(done.stdout) < 25  # MB; 40 where freed memory is kept
+
+
+def test_workers_keep_nothing_of_other_operators():
+    codec = weakref.ref(bpe.codec(*bpe._default()))
+    assert codec() is bpe.codec(*bpe._default())
+    value = Held(start=lambda: None)
+    assert langid.started(Held(value=value)) is value and langid._started
+    assert codec() is None
+    bpe.codec(*bpe._default())
+    assert not langid._started
+
+
+def test_near_copies_leave_no_words_in_a_worker():
+    caught = []
+    jaccard._hashes(Held(mapInArrow=lambda run, schema: caught.append(cloudpickle.dumps(run))), 5)
+    batch = pa.record_batch({"doc_id": [1], "text": ["some words that a worker meets"]})
+    assert sum(b.num_rows for b in cloudpickle.loads(caught[0])([batch])) == 1
+    assert not jaccard._words

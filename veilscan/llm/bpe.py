@@ -20,7 +20,7 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, lean, read_table, slices
+from .common import alone, blocks, kept, lean, read_table, slices
 
 #: Matches of the pattern cached in a worker; the cache starts anew when full.
 CACHE = 500_000
@@ -194,11 +194,12 @@ class PrefixText:
         return self.codec.walk(self.last)
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = kept("bpe")
 
 
 def codec(path: str, pattern: str) -> Codec:
     """One for each worker process."""
+    alone("bpe")
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(load_ranks(path), pattern)
     return _codecs[path, pattern]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,23 @@ def slices(batches, most: int = 512):
             yield b.slice(at, most)
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a worker process keeps for an operator from task to task."""
+    return _kept.setdefault(owner, {})
+
+
+def alone(owner: str) -> None:
+    """In a worker's task: what the worker keeps for other operators goes."""
+    others = [held for name, held in _kept.items() if name != owner and held]
+    for held in others:
+        held.clear()
+    if others:
+        gc.collect()  # a codec and its cache name each other
+
+
 def let_go() -> None:
     """Memory that this process has freed goes back to the system; Arrow's pool and malloc would keep it."""
     import pyarrow as pa

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, checked, lean, slices, unit_hash
+from .common import Scratch, alone, blocks, checked, kept, lean, slices, unit_hash
 from .components import BLOCK, components, pair_rows, run_bounds, runs
 from .simhash import _LOWER, _WORDS, links, majority
 
@@ -37,7 +37,12 @@ NEAR = 3
 BUCKETS, ROUNDS = 1 << 14, 2
 #: Words whose hashes a worker keeps.
 CACHE = 200_000
-_words: dict[str, int] = {}
+_words: dict[str, int] = kept("jaccard")
+
+
+def _rest() -> None:
+    """A worker that waits for its next task holds no words. (Functions that are sent to workers would clear a copy.)"""
+    _words.clear()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -77,11 +82,12 @@ def _hashes(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        alone("jaccard")
         for b in slices(batches):
             for texts, ids in blocks(b.column(1).to_pylist(), b.column(0).to_pylist()):
                 hs = [hashed(t or "", size).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.list_(pa.int64())), pa.array([_set_key(h) for h in hs], pa.int64())], ["doc_id", "hs", "sk"])
-        _words.clear()  # a worker that waits for its next task holds none
+        _rest()
 
     return docs.mapInArrow(lean(run), "doc_id bigint, hs array<bigint>, sk bigint")
 
@@ -145,6 +151,7 @@ def sets(docs: DataFrame, size: int, least: float) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        alone("jaccard")
         often, count = sent.value
         for b in slices(batches):
             for texts, ids in blocks(b.column(1).to_pylist(), b.column(0).to_pylist()):
@@ -160,7 +167,7 @@ def sets(docs: DataFrame, size: int, least: float) -> DataFrame:
                         h = h[np.argsort(np.where(often[at] == h, count[at], 0), kind="stable")]
                     first.append(h[: _prefix(len(h), least)].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sk, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(odd, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "sk", "fp", "n", "odd", "first"])
-        _words.clear()
+        _rest()
 
     return docs.mapInArrow(lean(run), "doc_id bigint, sk bigint, fp bigint, n int, odd binary, first array<bigint>")
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_of_id, lean, read_table, slices, unit_hash
+from .common import alone, blocks, crc_of_id, kept, lean, read_table, slices, unit_hash
 
 MARK = "▁"
 #: Of a character that no piece covers, and of a piece before smoothing.
@@ -347,11 +347,12 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
-_started: dict = {}
+_started = kept("langid")
 
 
 def started(sent) -> Model:
     """A worker's model lives on from task to task with its word scores; another broadcast replaces it."""
+    alone("langid")
     if sent.value is not _started.get("value"):
         _started["value"] = sent.value
         sent.value.start()
