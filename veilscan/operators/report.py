@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from .detect import DETECTORS, ScanConfig, describe_detectors
 
-#: Files of neighbouring numbers whose rows are ranked together.
-FILES = 1024
+#: What stands for a place that is null: it comes last.
+LAST = 2**63 - 1
 
 
 def exposed() -> Column:
@@ -61,20 +61,31 @@ def tier() -> Column:
     return F.when(~F.col("pii_type").isin(*V.KEY_TYPES), 2).when(exposed(), 0).otherwise(1)
 
 
+def _steps() -> list[dict[str, Column]]:
+    """The order of tiers, files and places, coarse to fine. In a group of one step the next has some 2**21 groups at most,
+    whether files are counted or numbered by hashes; a group of the last is 2**16 places of a file and detector."""
+    file, det, start = (F.coalesce(F.col(c).cast("bigint"), F.lit(LAST)) for c in ("file_seq", "det_seq", "start"))
+    return [{"_tier": tier(), "_files": F.shiftright(file, 42)}, {"_block": F.shiftright(file, 21)}, {"_file": file, "_dets": F.shiftright(det, 16)}, {"_det": det, "_starts": F.shiftright(start, 16)}]
+
+
 def row_budget(hits: DataFrame, cap: int) -> DataFrame:
     """The hits that fit into cap rows: as many of tier 0 as there are, then of tier 1, then of the rest, each in the order
-    of files and places. Counts by tier and block of FILES files come first; rows are ranked only within the blocks that
-    a quota reaches, so no task ranks a whole tier."""
-    rows = hits.withColumn("_tier", tier()).withColumn("_block", F.floor(F.col("file_seq") / FILES))
-    counts = rows.groupBy("_tier", "_block").agg(F.count("*").alias("_n"))
-    tiers = counts.groupBy("_tier").agg(F.sum("_n").alias("_all"))
-    before = F.coalesce(F.sum("_all").over(Window.orderBy("_tier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tiers = tiers.select("_tier", F.greatest(F.lit(0), F.least("_all", F.lit(cap) - before)).alias("_quota"))
-    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("_tier").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = counts.withColumn("_ahead", ahead).join(tiers, "_tier").filter("_ahead < _quota").select("_tier", "_block", "_ahead", "_quota")
-    rank = F.row_number().over(Window.partitionBy("_tier", "_block").orderBy("file_seq", "det_seq", "start"))
-    out = rows.join(blocks, ["_tier", "_block"]).withColumn("_rank", rank + F.col("_ahead"))
-    return out.filter("_rank <= _quota").drop("_tier", "_block", "_ahead", "_quota", "_rank")
+    of files and places. Counts find the group of each step in which the cap is reached; rows beyond it are left where they
+    are, and only places of the last group are ranked against the cap, so no task ranks a tier or a file."""
+    steps = _steps()
+    rows = hits.withColumns({n: c for step in steps for n, c in step.items()})
+    within, names = rows.withColumn("_left", F.lit(cap)), []
+    for step in steps:
+        counts = within.groupBy(*names, "_left", *step).agg(F.count("*").alias("_n"))
+        ahead = F.coalesce(F.sum("_n").over(Window.orderBy(*step).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        names += step
+        # one row: the group that reaches the cap (or else the last one), and how many of its rows fit
+        edge = counts.withColumn("_left", F.col("_left") - ahead).filter("_left > 0").orderBy(*map(F.desc, step)).limit(1).drop("_n")
+        within = rows.join(F.broadcast(edge), names)
+    place, edge = F.struct(*names), edge.select(F.struct(*names).alias("_edge"), "_left")
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.asc_nulls_last("start")))
+    kept = rows.join(F.broadcast(edge), place <= F.col("_edge")).withColumn("_rank", rank)
+    return kept.filter((place < F.col("_edge")) | (F.col("_rank") <= F.col("_left"))).drop(*names, "_edge", "_left", "_rank")
 
 
 def error_classes(files: DataFrame) -> DataFrame:
